@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import sharding, simhash
+from seqloom.llm import media, sharding, simhash
 from seqloom.llm.common import table
 
 
@@ -12,10 +12,14 @@ def op7_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op7_two_pass_shuffle, op9_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op7_two_pass_shuffle, op8_tiff_pages, op9_simhash_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -9,7 +9,7 @@ Law ``rows``: counts of shards differ by at most one.
 Defined cases. Null text: size 16. Null ids hash as nulls do and are records like any other. Rows with one id share a
 bucket; equal rows are interchangeable and each is kept. An empty table gives an empty result. Extra columns travel along
 whatever their names; the operator returns the record in one struct column, so nothing can clash. Ties do not arise: the order
-within a bucket before its shuffle is by id, then text, then the whole record.
+within a bucket before its shuffle is by id, then the whole record.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ def shuffle_into_shards(
     # the seeded generator runs on through a partition: a fixed number of partitions and a fixed order of their buckets
     # make a task that runs again after a lost executor deal the same permutations
     n_parts = partitions_for(df.sparkSession)
-    scattered = df.select(bucket, F.struct(key.alias("k"), text.alias("t"), F.struct("*").alias("r")).alias("_row")).repartition(n_parts, "_bucket")
+    scattered = df.select(bucket, F.struct(key.alias("k"), F.struct("*").alias("r")).alias("_row")).repartition(n_parts, "_bucket")
     buckets = scattered.groupBy("_bucket").agg(F.sort_array(F.collect_list("_row")).alias("_rows")).sortWithinPartitions("_bucket")
     shuffled = buckets.select("_bucket", F.call_function("shuffle", F.col("_rows"), F.lit(seed)).alias("_rows"))
     placed = shuffled.join(F.broadcast(offsets) if n_buckets <= BROADCAST_BUCKETS else offsets, "_bucket")
