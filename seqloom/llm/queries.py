@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import langid, media, sharding, simhash
+from seqloom.llm import langid, lzprint, media, sharding, simhash
 from seqloom.llm.common import table
 
 
+def op3_lz_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lzprint.edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_byte_cnn_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -24,6 +28,6 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op6_byte_cnn_language_id, op7_two_pass_shuffle, op8_tiff_pages, op9_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op3_lz_phrase_fingerprint, op6_byte_cnn_language_id, op7_two_pass_shuffle, op8_tiff_pages, op9_simhash_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
