@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import langid, lzprint, media, packing, sharding, simhash
+from seqloom.llm import bpe, langid, lzprint, media, packing, sharding, simhash
 from seqloom.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op4_local_search_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), digest=True)
+
+
 def op6_byte_cnn_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -33,6 +37,6 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op3_lz_phrase_fingerprint, op4_local_search_packing, op6_byte_cnn_language_id, op7_two_pass_shuffle, op8_tiff_pages, op9_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op3_lz_phrase_fingerprint, op4_local_search_packing, op5_transducer_bpe, op6_byte_cnn_language_id, op7_two_pass_shuffle, op8_tiff_pages, op9_simhash_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
