@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import bpe, langid, lzprint, media, packing, sharding, simhash
+from seqloom.llm import bpe, langid, lzprint, media, packing, sharding, simhash, substring
 from seqloom.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op3_lz_phrase_fingerprint, op4_local_search_packing, op5_transducer_bpe, op6_byte_cnn_language_id, op7_two_pass_shuffle, op8_tiff_pages, op9_simhash_near_dedup)}
+def op10_prefix_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op3_lz_phrase_fingerprint, op4_local_search_packing, op5_transducer_bpe, op6_byte_cnn_language_id, op7_two_pass_shuffle, op8_tiff_pages, op9_simhash_near_dedup, op10_prefix_suffix_trees)}
 
 ORACLE_SQL: dict[str, str] = {}
