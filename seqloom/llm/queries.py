@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import bpe, langid, lzprint, media, packing, sharding, simhash, substring
+from seqloom.llm import bpe, langid, lzprint, media, packing, secrets, sharding, simhash, substring
 from seqloom.llm.common import table
 
 
+def op1_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_digest(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def op3_lz_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lzprint.edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -41,6 +45,6 @@ def op10_prefix_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op3_lz_phrase_fingerprint, op4_local_search_packing, op5_transducer_bpe, op6_byte_cnn_language_id, op7_two_pass_shuffle, op8_tiff_pages, op9_simhash_near_dedup, op10_prefix_suffix_trees)}
+QUERIES = {f.__name__: f for f in (op1_secret_forest, op3_lz_phrase_fingerprint, op4_local_search_packing, op5_transducer_bpe, op6_byte_cnn_language_id, op7_two_pass_shuffle, op8_tiff_pages, op9_simhash_near_dedup, op10_prefix_suffix_trees)}
 
 ORACLE_SQL: dict[str, str] = {}
