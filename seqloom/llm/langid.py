@@ -199,3 +199,19 @@ def identify(df: DataFrame, seed: int = 42) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     own = df.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").alias("_text"))
     return map_batches(own, _predictor(net, 2), "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def _keeper(net: Network | None, at: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, values = predict(net, batch.column(at).to_pylist())
+            yield batch.filter(pa.array([n != "und" and v >= least for n, v in zip(names, values, strict=True)], pa.bool_()))
+
+    return run
+
+
+def keep_known(df: DataFrame, least: float, seed: int = 42) -> DataFrame:
+    """Rows whose text has a language with a score of at least ``least``, unchanged and with all their columns."""
+    learned = sample(df, seed=seed)
+    net = train(learned, seed) if learned else None
+    return map_batches(df, _keeper(net, df.columns.index("text"), least), df.schema)

@@ -65,5 +65,29 @@ QUERIES = {
     )
 }
 
-#: None of the ten can be put in DuckDB's SQL; tests/llm hold each against a brute-force version, the library it equals or held-out rows.
-ORACLE_SQL: dict[str, str] = {}
+#: Of the others none can be put in DuckDB's SQL (forests, networks, tokenizers, image files, seeded permutations, XXH64); tests/llm hold
+#: each against a brute-force version, the library it equals or held-out rows.
+ORACLE_SQL: dict[str, str] = {
+    "op10_prefix_suffix_trees": r"""
+WITH words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), labels AS (
+    SELECT doc_id, unnest(range(1, len(ws) - 48)) AS i,
+           unnest(list_transform(range(1, len(ws) - 48), lambda i: md5(array_to_string(ws[i : i + 49], ' ')))) AS h
+    FROM words WHERE len(ws) >= 50
+), least AS (
+    SELECT h, min(doc_id) AS first_id FROM labels GROUP BY h
+), marked AS (
+    SELECT DISTINCT l.doc_id, l.i FROM labels l JOIN least USING (h) WHERE first_id < l.doc_id
+), each AS (
+    SELECT doc_id, unnest(range(1, len(ws) + 1)) AS j, unnest(ws) AS w FROM words
+), covered AS (
+    SELECT e.doc_id, e.j, e.w, max(m.i) OVER (PARTITION BY e.doc_id ORDER BY e.j ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+    FROM each e LEFT JOIN marked m ON e.doc_id = m.doc_id AND e.j = m.i
+), kept AS (
+    SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(w, ' ' ORDER BY j) FILTER (WHERE NOT gone) AS t FROM covered GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM words d LEFT JOIN kept k USING (doc_id)
+""",
+}
