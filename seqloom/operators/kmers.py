@@ -95,6 +95,11 @@ def totals(reads: DataFrame, k: int = 21) -> DataFrame:
     return counts.agg(F.count(F.lit(1)).alias("distinct_kmers"), F.coalesce(F.sum("cnt"), F.lit(0)).cast("long").alias("total_kmers"))
 
 
+def ordered(counts: DataFrame) -> DataFrame:
+    """Counts sorted by k-mer within each partition; no shuffle."""
+    return counts.sortWithinPartitions(*[c for c in ("hi", "lo", "kmer") if c in counts.columns])
+
+
 def spectrum(reads: DataFrame, k: int = 21) -> DataFrame:
     """Extension: how many distinct k-mers have each count."""
     return kmer_code_counts(reads, k).groupBy("cnt").agg(F.count(F.lit(1)).alias("kmers"))
