@@ -35,7 +35,9 @@ def pmer_code(pmer: Column) -> Column:
 
 
 def decode(code: Column, k: int) -> Column:
-    """The k bases (up to 32) of a code; a negative code is read as unsigned."""
+    """The k bases (up to 32) of a code; of 32 bases, a negative code is read as unsigned."""
+    if k == 32:  # conv() loses the least long
+        return F.concat(decode(F.shiftrightunsigned(code, 32), 16), decode(code.bitwiseAND(F.lit(4294967295)), 16))
     return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
 
 

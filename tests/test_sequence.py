@@ -34,7 +34,7 @@ def model_minimizers(seq, k, p, bad):
 
 def random_reads(n=60, seed=1):
     rng = random.Random(seed)
-    return [(k, None, "".join(rng.choice("ACGTACGTNacgu-\ré") for _ in range(rng.choice([0, 5, 21, 40, 300])))) for k in range(n)] + [(n, None, "A" * 400), (n + 1, None, "ACACAC" * 30)]
+    return [(k, None, "".join(rng.choice("ACGTACGTNacgu-\ré") for _ in range(rng.choice([0, 5, 21, 40, 300])))) for k in range(n)] + [(n, None, "A" * 400), (n + 1, None, "ACACAC" * 30), (n + 2, None, "CCCG" + "A" * 60 + "GT" + "C" * 40)]
 
 
 @pytest.fixture(scope="module")
