@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from seqloom.config import CountConfig
 from seqloom.functions import vector
 from seqloom.functions.sequence import decode, packed_bytes, partition_id
-from seqloom.operators.kmers import kmer_code_counts, kmer_strings, spread
+from seqloom.operators.kmers import spread
 
 _LETTERS = np.frombuffer(b"ACGT", np.uint8)
 
@@ -132,6 +132,26 @@ def oversize(stats: DataFrame, k: int, memory: int, budget: int) -> DataFrame:
     return stats.select("part", need.alias("need"), (F.lit(float(budget)) - need <= 0.1 * memory).alias("oversize"))
 
 
+def group_partitions(stats: DataFrame, k: int, memory: int, budget: int, most: int) -> DataFrame:
+    """part, batch, oversize: partitions in order, dealt to batches of at most ``most`` that fit the budget and leave a tenth of memory.
+
+    A partition that fits no batch has one of its own. The number of partitions is a parameter, so their list is bounded."""
+    sizes = oversize(stats, k, memory, budget).groupBy().agg(F.sort_array(F.collect_list(F.struct("part", "need", "oversize"))).alias("p"))
+    spare = 0.1 * memory
+    kind = "array<struct<part:int,batch:int,oversize:boolean>>"
+
+    def step(a, x):
+        joins = (a["n"] > 0) & (a["n"] < most) & (a["left"] - x["need"] > spare)
+        batch = F.when(joins, a["batch"]).otherwise(a["batch"] + 1)
+        left = F.when(joins, a["left"]).otherwise(F.lit(float(budget))) - x["need"]
+        n = F.when(joins, a["n"] + 1).when(x["oversize"], F.lit(0)).otherwise(F.lit(1))
+        row = F.struct(x["part"].alias("part"), batch.alias("batch"), x["oversize"].alias("oversize"))
+        return F.struct(batch.alias("batch"), left.alias("left"), n.alias("n"), F.concat(a["out"], F.array(row)).alias("out"))
+
+    start = F.struct(F.lit(-1).alias("batch"), F.lit(0.0).alias("left"), F.lit(0).alias("n"), F.array().cast(kind).alias("out"))
+    return sizes.select(F.inline(F.aggregate("p", start, step, lambda a: a["out"])))
+
+
 def count_by_partition(reads: DataFrame, cfg: CountConfig = CountConfig()) -> DataFrame:
     """part, kmer, cnt by way of super-k-mers. A k-mer and its reverse complement have one minimizer, so parts share no k-mer."""
     rows = super_kmers(reads, cfg)
@@ -171,6 +191,3 @@ def load_spilled(spark: SparkSession, path: str, part: int | None = None) -> Dat
     """Spilled super-k-mers; of one partition, the others' files are not read."""
     rows = spark.read.parquet(path)
     return rows if part is None else rows.where(F.col("part") == part)
-
-
-__all__ = ["count_by_partition", "kmer_code_counts", "kmer_strings", "minimizers", "oversize", "packed_reads", "packed_super_kmers", "partition_distinct", "partition_stats", "size_summary", "spill", "load_spilled", "super_kmers", "unpack"]

@@ -16,8 +16,8 @@ from seqloom.operators import superkmers as SK
 from seqloom.sources import reads as R
 
 CFG = CountConfig()
-#: Memory and budget by which partitions are called oversize, in bytes.
-MEMORY, BUDGET = 1_000_000, 500_000
+#: Memory and budget by which partitions are called oversize, in bytes, and the most partitions in a batch.
+MEMORY, BUDGET, STREAMS = 4_000_000, 2_000_000, 6
 BATCH = 2000
 
 
@@ -121,6 +121,10 @@ def q19_oversize(spark, sf_dir):
     return SK.oversize(SK.partition_stats(raw_reads(spark, sf_dir), CFG), CFG.k, MEMORY, BUDGET)
 
 
+def q19_partition_batches(spark, sf_dir):
+    return SK.group_partitions(SK.partition_stats(raw_reads(spark, sf_dir), CFG), CFG.k, MEMORY, BUDGET, STREAMS)
+
+
 def q20_packed_reads(spark, sf_dir):
     return SK.packed_reads(raw_reads(spark, sf_dir)).select(F.col("read_id").alias("doc_id"), F.lower(F.hex("packed")).alias("hex"))
 
@@ -184,6 +188,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q18_partition_distinct": q18_partition_distinct,
     "q18_counts_by_super_kmers": q18_counts_by_super_kmers,
     "q19_oversize": q19_oversize,
+    "q19_partition_batches": q19_partition_batches,
     "q20_packed_reads": q20_packed_reads,
     "q20_packed_super_kmers": q20_packed_super_kmers,
     "q21_counts_k16": _counts(16),
@@ -286,6 +291,16 @@ SELECT n, "avg", "max", (SELECT min(part) FROM stats WHERE bytes = "max") AS arg
 SELECT p.part::INTEGER AS part, coalesce(n, 0)::BIGINT AS distinct_kmers FROM range({CFG.parts}) p(part) LEFT JOIN d ON d.part = p.part""",
     "q18_counts_by_super_kmers": f"WITH {_skm('default')}, x AS ({_KMER_OF_SKM}) SELECT part, least(x, {_RC.format('x')}) AS kmer, count(*)::BIGINT AS cnt FROM x GROUP BY 1, 2",
     "q19_oversize": f"WITH {_skm('default')} SELECT part, (2.5 * kmer_cnt * 8)::DOUBLE AS need, {BUDGET} - 2.5 * kmer_cnt * 8 <= {0.1 * MEMORY} AS oversize FROM stats",
+    "q19_partition_batches": f"""WITH RECURSIVE {_skm('default')}, sizes AS (
+    SELECT part, (2.5 * kmer_cnt * 8)::DOUBLE AS need, {BUDGET} - 2.5 * kmer_cnt * 8 <= {0.1 * MEMORY} AS oversize FROM stats
+), dealt AS (
+    SELECT part, 0 AS batch, {BUDGET}::DOUBLE - need AS room, CASE WHEN oversize THEN 0 ELSE 1 END AS n, oversize FROM sizes WHERE part = 0
+    UNION ALL
+    SELECT s.part, CASE WHEN d.n > 0 AND d.n < {STREAMS} AND d.room - s.need > {0.1 * MEMORY} THEN d.batch ELSE d.batch + 1 END,
+           CASE WHEN d.n > 0 AND d.n < {STREAMS} AND d.room - s.need > {0.1 * MEMORY} THEN d.room ELSE {BUDGET}::DOUBLE END - s.need,
+           CASE WHEN d.n > 0 AND d.n < {STREAMS} AND d.room - s.need > {0.1 * MEMORY} THEN d.n + 1 WHEN s.oversize THEN 0 ELSE 1 END, s.oversize
+    FROM dealt d JOIN sizes s ON s.part = d.part + 1
+) SELECT part, batch, oversize FROM dealt""",
     "q20_packed_reads": f"""WITH {_READS} SELECT doc_id, coalesce(array_to_string(list_transform(range(0, length(seq) // 3 + 1),
     lambda j: {_BYTE.format(f"least(3, length(seq) - 3 * j) * 64 + {_BASE.format(1)} * 16 + {_BASE.format(2)} * 4 + {_BASE.format(3)}")}), ''), '') AS hex FROM reads""",
     "q20_packed_super_kmers": f"""WITH {_skm('default')}, e AS (SELECT *, "end" + {CFG.k - 1} AS stop FROM skm) SELECT doc_id, beg, part, array_to_string(list_transform(range(beg // 3, stop // 3 + 1),
