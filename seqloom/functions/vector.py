@@ -6,6 +6,8 @@ doubled length; sliding minima come the same way.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -13,6 +15,8 @@ BAD = 255
 _CODES = np.full(256, BAD, np.uint8)
 for _letters, _code in (("AaNnUu", 0), ("Cc", 1), ("Gg", 2), ("Tt", 3)):
     _CODES[np.frombuffer(_letters.encode(), np.uint8)] = _code
+#: Bases that are worked on at once: it bounds a kernel's memory however long reads and batches are.
+CHUNK = 1 << 21
 ALL_T = {p: (1 << 2 * p) - 1 for p in range(1, 17)}
 
 
@@ -66,6 +70,14 @@ def starts_of(offsets: np.ndarray, k: int) -> np.ndarray:
     return first + np.arange(counts.sum())
 
 
+def chunks_of(bases: np.ndarray, at: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pieces of the bases, overlapping in k - 1, with the starts of k-mers in each; starts must ascend."""
+    for begin in range(0, len(bases), CHUNK):
+        a, b = np.searchsorted(at, (begin, begin + CHUNK))
+        if b > a:
+            yield bases[begin : begin + CHUNK + k - 1], at[a:b] - begin
+
+
 def kmer_codes(bases: np.ndarray, at: np.ndarray, k: int, canonical: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
     """Codes of the k-mers that start at ``at``: low 32 bases, and for k over 32 the bases above."""
     def both(own: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
@@ -98,9 +110,11 @@ def _valid(codes: np.ndarray, p: int, pmer_filter: str) -> np.ndarray:
 
 
 def minimizers(bases: np.ndarray, at: np.ndarray, k: int, p: int, pmer_filter: str) -> np.ndarray:
-    """The least valid p-mer of either strand in each k-mer; all T where none is valid."""
-    if not len(at):
-        return np.zeros(0, np.uint64)
+    """The least valid p-mer of either strand in each k-mer that starts at ``at``, ascending; all T where none is valid."""
+    return np.concatenate([np.zeros(0, np.uint64), *(_minimizers(b, a, k, p, pmer_filter) for b, a in chunks_of(bases, at, k))])
+
+
+def _minimizers(bases: np.ndarray, at: np.ndarray, k: int, p: int, pmer_filter: str) -> np.ndarray:
     fill = np.uint64(ALL_T[p])
     forward = window_codes(bases, p)
     back = window_codes((3 - bases[::-1]).astype(np.uint8), p)[::-1]

@@ -18,12 +18,13 @@ from seqloom.functions import vector
 from seqloom.functions.sequence import decode
 
 UINT32 = 4294967295
-#: k-mers counted together before they leave the kernel.
-CHUNK = 4_000_000
+#: k-mers counted together before they leave the kernel, and reads in an Arrow batch.
+COUNTED, READS = 4_000_000, 1024
 
 
 def spread(df: DataFrame) -> DataFrame:
     """Deals rows to all shuffle partitions: a file may be a single task, and reads are an eighth of their k-mers' bytes."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(READS))
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
@@ -49,11 +50,10 @@ def _coder(k: int, canonical: bool, hpc: bool) -> Callable:
             if hpc:
                 bases, offsets = vector.squeeze_runs(bases, offsets)
             at = vector.starts_of(offsets, k)
-            for s in range(0, len(at), CHUNK):
-                if len(at):
-                    held.append(vector.kmer_codes(bases, at[s : s + CHUNK], k, canonical))
-                    size += len(held[-1][0])
-                if size >= CHUNK:
+            for own, starts in vector.chunks_of(bases, at, k):
+                held.append(vector.kmer_codes(own, starts, k, canonical))
+                size += len(starts)
+                if size >= COUNTED:
                     yield emit(held)
                     held, size = [], 0
         if held:

@@ -136,6 +136,15 @@ def test_invariants(spark, reads):
     assert {r.cnt for r in K.clamped(counts, 1).collect()} == {1}
 
 
+def test_chunks_change_nothing(monkeypatch):
+    bases, offsets = V.batch_bases(pa.array([r[2] for r in random_reads()]))
+    at = V.starts_of(offsets, 21)
+    whole = V.kmer_codes(bases, at, 21)[0], V.minimizers(bases, at, 21, 7, "default")
+    monkeypatch.setattr(V, "CHUNK", 50)
+    parts = np.concatenate([V.kmer_codes(b, a, 21)[0] for b, a in V.chunks_of(bases, at, 21)])
+    assert (parts == whole[0]).all() and (V.minimizers(bases, at, 21, 7, "default") == whole[1]).all()
+
+
 def test_size_summary(spark):
     sizes = [5, 9, 9, 0]
     stats = spark.createDataFrame(list(enumerate(sizes)), "part int, bytes long")
