@@ -13,6 +13,7 @@ not read, so their names cannot clash.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.llm.bpe import byte_symbols
 from seqloom.llm.common import id_and_text, map_batches
 
 CAPACITY, SEPARATOR, GROUP = 2048, 0, 4096
@@ -36,6 +38,27 @@ _RUN = re.compile(r"\s\s|^\s|\s$")
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 _encoders: dict[int, Encoder] = {}
 
+# The pattern of byte-level tokenizers, and the characters of which no two Unicode versions differ in class.
+WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_LATIN = re.compile("[\x00-\u024f]*")
+
+
+def _ranked(made: dict):
+    """The same tokenizer by ranks, three times as fast on single words, if ids follow the order of merges; else None."""
+    import tiktoken
+
+    first, model = made.get("pre_tokenizer") or {}, made["model"]
+    plain = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space") and not made.get("normalizer")
+    merged = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    if not plain or None in merged or merged != sorted(merged) or any(model.get(x) for x in ("continuing_subword_prefix", "end_of_word_suffix", "dropout", "byte_fallback", "ignore_merges")):
+        return None
+    of = {c: b for b, c in enumerate(byte_symbols())}
+    added = {t["content"] for t in made.get("added_tokens", [])}
+    if any(c not in of for t in model["vocab"] if t not in added for c in t):
+        return None
+    ranks = {bytes(of[c] for c in t): i for t, i in model["vocab"].items() if t not in added}
+    return tiktoken.Encoding("by_ranks", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
 
 class Encoder:
     """The ids of a byte-level tokenizer of which no token spans the start of a space before a word.
@@ -52,6 +75,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.ranked = _ranked(json.loads(spec))
         self.known: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
 
@@ -59,6 +83,12 @@ class Encoder:
         if len(known) + len(parts) > REMEMBERED:
             known.clear()
         fresh = list(parts)
+        if self.ranked:
+            encode = self.ranked.encode_ordinary
+            for part in fresh:
+                if _LATIN.fullmatch(part):
+                    known[part] = np.array(encode(lead + part), "<u4").tobytes()
+            fresh = [x for x in fresh if x not in known]
         for k in range(0, len(fresh), 4096):
             some = fresh[k : k + 4096]
             for part, e in zip(some, self.tokenizer.encode_batch_fast([lead + x for x in some], add_special_tokens=False), strict=True):
