@@ -2,13 +2,13 @@
 
 The method is a suffix tree cut up by prefixes, reduced to what decides: nodes at a depth of ``WINDOW`` words or more.
 
-1. Suffixes are represented by anchors. Among the word 8-grams of a window the least hash is its anchor, so equal windows have equal
-   anchors at equal places, and each window belongs to one anchor. About one position in 22 is an anchor, and its 8 words are the prefix by which suffixes
-   are dealt. Prefixes found in one document only lead to no repeat and are dropped: that leaves the shared ones, with their counts.
-2. Of documents with shared prefixes, each anchor sends the path labels of its windows: a hash of all ``WINDOW`` words.
-   Prefixes of up to ``GROUP`` anchors fit in memory: such a group is one task's subtree, whose nodes at depth ``WINDOW`` are
-   the runs of equal labels. Prefixes of more are lengthened to the whole window: each such node is an aggregate (its least document,
-   summed up before the shuffle), joined back to the windows, so no group is too large for a task.
+1. Suffixes are represented by anchors. The least hash among the word 8-grams of a window is its prefix, so equal windows have
+   equal prefixes, and consecutive windows of one prefix make a row. There is about one row for 22 positions, one for 62 in periodic
+   text. Prefixes found in one document only lead to no repeat and are dropped: that leaves the shared ones, with their numbers of rows.
+2. Of documents with shared prefixes, each row holds the path labels of its windows: a hash of all ``WINDOW`` words. A prefix of up
+   to ``GROUP`` rows is one subtree in memory, whose nodes at depth ``WINDOW`` are the runs of equal labels. A prefix of more is split into
+   parts of that size. Their nodes are lengthened prefixes: dealt by label in packs of bounded size, merged, and sent back to the parts
+   that hold them, so no task holds a hot prefix or a hot passage whole.
 3. A node with two or more documents is a repeat. Windows in documents other than the least are marked, and the words they cover go.
 
 Labels are 64-bit hashes under equal 64-bit prefixes, so equality is decided by 128 bits.
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from seqloom.llm.common import id_and_text, map_batches, partitions_for, use_checkpoints
 
 WINDOW, PREFIX = 50, 8
-#: Anchors of one prefix that make a subtree in memory.
-GROUP = 1000
+#: Rows of one prefix that make a subtree in memory, windows in a row (bits of a mask), and parts of a prefix to a pack of nodes.
+GROUP, ROW_WINDOWS, PARTS_EACH = 1000, 62, 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -79,22 +79,28 @@ def _grams(sums: np.ndarray, n: int) -> np.ndarray:
 
 
 class Anchors:
-    """Of a text: the places of its anchors, their prefix hashes, and the first and last window of each."""
+    """Of a text: rows of consecutive windows with one prefix, as the prefix, the first and the last window."""
 
     def __init__(self, raw: bytes):
         words = word_hashes(raw)
         self.n_words = len(words)
-        self.at = np.zeros(0, np.int64)
+        self.prefix = np.zeros(0, np.int64)
         if len(words) < WINDOW:
             return
         self.sums = _sums(words)
-        grams = _grams(self.sums, PREFIX)
-        wide = WINDOW - PREFIX + 1
-        own = np.lib.stride_tricks.sliding_window_view(grams, wide).argmin(axis=1) + np.arange(len(words) - WINDOW + 1)
-        turns = np.flatnonzero(np.diff(own)) + 1
-        self.first, self.last = np.concatenate([[0], turns]), np.concatenate([turns, [len(own)]]) - 1
-        self.at = own[self.first]
-        self.prefix = grams[self.at].view(np.int64)
+        least, size, wide = _grams(self.sums, PREFIX), 1, WINDOW - PREFIX + 1
+        while size * 2 <= wide:
+            least = np.minimum(least[:-size], least[size:])
+            size *= 2
+        if wide > size:
+            least = np.minimum(least[: size - wide], least[wide - size :])
+        turns = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
+        lengths = np.diff(np.concatenate([turns, [len(least)]]))
+        pieces = -(-lengths // ROW_WINDOWS)
+        own = np.repeat(turns, pieces)
+        self.first = own + ROW_WINDOWS * (np.arange(len(own)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        self.last = np.minimum(self.first + ROW_WINDOWS, own + np.repeat(lengths, pieces)) - 1
+        self.prefix = least[self.first].view(np.int64)
 
     def labels(self) -> np.ndarray:
         """A hash of the words of each window."""
@@ -106,12 +112,12 @@ def _raw(text: str | None) -> bytes:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """_id, _text to _prefix, _id, _n: each prefix of a text once, with its number of anchors."""
+    """_id, _text to _prefix, _id, _n: each prefix of a text once, with its number of rows."""
     for batch in batches:
         prefixes, keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             found = Anchors(_raw(text))
-            if len(found.at):
+            if len(found.prefix):
                 own, n = np.unique(found.prefix, return_counts=True)
                 prefixes.append(own)
                 counts.append(n)
@@ -119,65 +125,150 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (prefixes, keys, counts)], ["_prefix", "_id", "_n"])
 
 
+WINDOWS = "_prefix long, _part long, _parts long, _id long, _sha long, _first long, _labels binary"
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """_id, _sha, _text, _shared (prefixes) to _prefix, _id, _sha, _first (window) and _labels (64-bit each)."""
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    """_id, _sha, _text, _shared (prefixes and their parts) to the rows of windows."""
+    kinds = [*[pa.int64()] * 6, pa.binary()]
     for batch in batches:
         rows = []
         for key, sha, text, shared in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             found = Anchors(_raw(text))
-            if not len(found.at):
+            if not len(found.prefix):
                 continue
-            labels = found.labels()
-            for k in np.flatnonzero(np.isin(found.prefix, np.array(shared, np.int64))):
-                a, b = int(found.first[k]), int(found.last[k]) + 1
-                rows.append((int(found.prefix[k]), key, sha, a, labels[a:b].tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["_prefix", "_id", "_sha", "_first", "_labels"])
-
-
-MARKS = "_id long, _sha long, _first long, _mask long"
-
-
-def subtree(ids: np.ndarray, labels: list[bytes]) -> np.ndarray:
-    """Anchors of one prefix: for each a mask of its windows whose node also has a smaller id."""
-    lengths = np.array([len(x) // 8 for x in labels])
-    flat = np.frombuffer(b"".join(labels), "<u8")
-    anchor = np.repeat(np.arange(len(ids)), lengths)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    order = np.lexsort((ids[anchor], flat))
-    heads = np.concatenate([[True], flat[order][1:] != flat[order][:-1]])
-    least = ids[anchor[order]][np.flatnonzero(heads)][np.cumsum(heads) - 1]
-    later = order[ids[anchor[order]] > least]
-    masks = np.zeros(len(ids), np.int64)
-    np.bitwise_or.at(masks, anchor[later], np.int64(1) << place[later])
-    return masks
+            labels, parts = found.labels(), {x["_prefix"]: x["_parts"] for x in shared}
+            for prefix, a, b in zip(found.prefix.tolist(), found.first.tolist(), found.last.tolist(), strict=True):
+                n = parts.get(prefix)
+                if n:
+                    rows.append((prefix, hash((key, sha, a)) % n, n, key, sha, a, labels[a : b + 1].tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [x.split()[0] for x in WINDOWS.split(", ")])
+
+
+class Flat:
+    """The windows of rows one by one: label, row, place in its row and id; ``groups`` numbers the subtree of each row."""
+
+    def __init__(self, groups: np.ndarray, ids: np.ndarray, labels: list[bytes]):
+        lengths = np.array([len(x) // 8 for x in labels], np.int64)
+        self.rows = len(ids)
+        self.label = np.frombuffer(b"".join(labels), "<u8")
+        self.row = np.repeat(np.arange(len(ids)), lengths)
+        self.place = np.arange(len(self.label)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        self.id, self.group = ids[self.row], groups[self.row]
+
+    def nodes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Windows in the order of their nodes (group, label) and then ids, and where nodes start in it."""
+        order = np.lexsort((self.id, self.label, self.group))
+        label, group = self.label[order], self.group[order]
+        return order, np.flatnonzero(np.concatenate([[True], (label[1:] != label[:-1]) | (group[1:] != group[:-1])]))
+
+    def masks(self, marked: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.rows, np.int64)
+        np.bitwise_or.at(out, self.row[marked], np.int64(1) << self.place[marked])
+        return out
+
+
+def subtrees(groups: np.ndarray, ids: np.ndarray, labels: list[bytes]) -> np.ndarray:
+    """For each row a mask of its windows whose node also has a smaller id."""
+    flat = Flat(groups, ids, labels)
+    order, heads = flat.nodes()
+    least = np.repeat(flat.id[order][heads], np.diff(np.concatenate([heads, [len(order)]])))
+    return flat.masks(order[flat.id[order] > least])
+
+
+#: kind 0: marks of a row of windows; 1: a pack of a part's nodes (label, least and greatest id); 2: a row of windows of a part.
+FOUND = "_kind int, _prefix long, _part long, _pack long, _id long, _sha long, _first long, _mask long, _data binary"
+_NODE = np.dtype([("label", "<u8"), ("least", "<i8"), ("most", "<i8")])
+
+
+def _batch(rows: dict[str, object], n: int) -> pa.RecordBatch:
+    cols = []
+    for name, kind in (x.split() for x in FOUND.split(", ")):
+        kind = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[kind]
+        cols.append(pa.array(rows[name], kind) if name in rows else pa.nulls(n, kind))
+    return pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in FOUND.split(", ")])
+
+
+def _settled(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Whole groups of (prefix, part): marks of those that are a prefix's only part; packs of nodes and the rows of the others."""
+    prefix, part, parts, ids, sha, first = (rows.column(k).to_numpy() for k in range(6))
+    labels = rows.column(6).to_pylist()
+    groups = np.cumsum(np.concatenate([[0], (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])]))
+    own = np.flatnonzero(parts == 1)
+    if len(own):
+        masks = subtrees(groups[own], ids[own], [labels[k] for k in own])
+        own, masks = own[masks != 0], masks[masks != 0]
+        yield _batch({"_kind": np.zeros(len(own), np.int32), "_id": ids[own], "_sha": sha[own], "_first": first[own], "_mask": masks}, len(own))
+    rest = np.flatnonzero(parts > 1)
+    if not len(rest):
+        return
+    for own in np.split(rest, np.flatnonzero(np.diff(groups[rest])) + 1):
+        flat = Flat(groups[own], ids[own], [labels[k] for k in own])
+        order, heads = flat.nodes()
+        made = np.zeros(len(heads), _NODE)
+        made["label"], made["least"] = flat.label[order][heads], flat.id[order][heads]
+        made["most"] = flat.id[order][np.concatenate([heads[1:], [len(order)]]) - 1]
+        packs = -(-int(parts[own[0]]) // PARTS_EACH)
+        pack = (made["label"] % np.uint64(packs)).astype(np.int64)
+        used = np.unique(pack)
+        same = lambda v, n: np.full(n, v)
+        yield _batch({"_kind": same(1, len(used)), "_prefix": same(prefix[own[0]], len(used)), "_part": same(part[own[0]], len(used)), "_pack": used, "_data": [made[pack == k].tobytes() for k in used]}, len(used))
+        yield _batch({"_kind": same(2, len(own)), "_prefix": prefix[own], "_part": part[own], "_id": ids[own], "_sha": sha[own], "_first": first[own], "_data": [labels[k] for k in own]}, len(own))
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by prefix: marks of each group of one prefix."""
+    """Rows sorted by prefix and part; groups are held until they are whole."""
     kept: list[pa.RecordBatch] = []
-
-    def marked(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        prefix = rows.column(0).to_numpy()
-        ids, sha, first = (rows.column(k).to_numpy() for k in (1, 2, 3))
-        labels = rows.column(4).to_pylist()
-        cut = [0, *(np.flatnonzero(np.diff(prefix)) + 1).tolist(), len(prefix)]
-        masks = np.concatenate([np.zeros(0, np.int64), *(subtree(ids[a:b], labels[a:b]) for a, b in zip(cut, cut[1:], strict=False) if b > a)])
-        own = masks != 0
-        yield pa.RecordBatch.from_arrays([pa.array(x[own]) for x in (ids, sha, first, masks)], ["_id", "_sha", "_first", "_mask"])
-
     for batch in batches:
         if not batch.num_rows:
             continue
-        prefix = batch.column(0).to_numpy()
-        at = int(np.flatnonzero(prefix != prefix[-1])[-1]) + 1 if prefix[0] != prefix[-1] else 0
-        ends = not at and kept and kept[-1].column(0)[-1].as_py() != prefix[0]
-        if at or ends:
-            yield from marked(pa.Table.from_batches([*kept, batch.slice(0, at)] if at else kept))
+        prefix, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        inner = np.flatnonzero((prefix != prefix[-1]) | (part != part[-1]))
+        at = int(inner[-1]) + 1 if len(inner) else 0
+        if not at and kept and (kept[-1].column(0)[-1].as_py(), kept[-1].column(1)[-1].as_py()) != (prefix[0], part[0]):
+            yield from _settled(pa.Table.from_batches(kept))
+            kept = []
+        elif at:
+            yield from _settled(pa.Table.from_batches([*kept, batch.slice(0, at)]))
             kept = []
         kept.append(batch.slice(at))
     if kept:
-        yield from marked(pa.Table.from_batches(kept))
+        yield from _settled(pa.Table.from_batches(kept))
+
+
+def _merge(group: pa.Table) -> pa.Table:
+    """Packs of one prefix and range of labels, from all its parts: to each part, of its nodes those with two documents and their least."""
+    packs = [np.frombuffer(x, _NODE) for x in group.column("_data").to_pylist()]
+    every = np.concatenate(packs)
+    labels, at = np.unique(every["label"], return_inverse=True)
+    least, most = np.full(len(labels), np.iinfo(np.int64).max), np.full(len(labels), np.iinfo(np.int64).min)
+    np.minimum.at(least, at, every["least"])
+    np.maximum.at(most, at, every["most"])
+    out = []
+    for own in packs:
+        k = np.searchsorted(labels, own["label"])
+        k = k[least[k] < most[k]]
+        made = np.zeros(len(k), _NODE)
+        made["label"], made["least"] = labels[k], least[k]
+        out.append(made.tobytes())
+    return pa.table({"_prefix": group.column("_prefix"), "_part": group.column("_part"), "_data": pa.array(out, pa.binary())})
+
+
+MARKS = "_id long, _sha long, _first long, _mask long"
+
+
+def _mark_part(rows: pa.Table, packs: pa.Table) -> pa.Table:
+    """Rows of windows of a part and its nodes with two documents: the marks."""
+    nodes = np.concatenate([np.zeros(0, _NODE), *(np.frombuffer(x, _NODE) for x in packs.column("_data").to_pylist())])
+    nodes = nodes[np.argsort(nodes["label"])]
+    ids = rows.column("_id").to_numpy() if rows.num_rows else np.zeros(0, np.int64)
+    masks = np.zeros(len(ids), np.int64)
+    if len(nodes) and len(ids):
+        flat = Flat(np.zeros(len(ids), np.int64), ids, rows.column("_data").to_pylist())
+        at = np.minimum(np.searchsorted(nodes["label"], flat.label), len(nodes) - 1)
+        masks = flat.masks(np.flatnonzero((nodes["label"][at] == flat.label) & (nodes["least"][at] < flat.id)))
+    found = rows.select(["_id", "_sha", "_first"]).append_column("_mask", pa.array(masks))
+    return found.filter(pa.array(masks != 0))
 
 
 def marks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,31 +277,20 @@ def marks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     use_checkpoints(spark)
     docs = id_and_text(df, id_col, text_col).where("_id IS NOT NULL")
     anchors = map_batches(docs, _anchors, "_prefix long, _id long, _n long").checkpoint()
-    shared = anchors.groupBy("_prefix").agg(F.min("_id").alias("a"), F.max("_id").alias("b"), F.sum("_n").alias("_n")).where("a <> b").select("_prefix", "_n").checkpoint()
-    own = anchors.join(shared.select("_prefix"), "_prefix", "left_semi").groupBy("_id").agg(F.collect_set("_prefix").alias("_shared"))
+    counts = anchors.groupBy("_prefix").agg(F.min("_id").alias("_a"), F.max("_id").alias("_b"), F.sum("_n").alias("_rows")).where("_a <> _b")
+    shared = counts.select("_prefix", F.ceil(F.col("_rows") / GROUP).cast("long").alias("_parts")).checkpoint()
+    own = anchors.select("_prefix", "_id").join(shared, "_prefix").groupBy("_id").agg(F.collect_set(F.struct("_prefix", "_parts")).alias("_shared"))
     texts = docs.join(own, "_id").select("_id", F.xxhash64("_text").alias("_sha"), "_text", "_shared")
-    windows = map_batches(texts, _windows, "_prefix long, _id long, _sha long, _first long, _labels binary")
-    large = shared.where(F.col("_n") > GROUP).select("_prefix")
-    if large.isEmpty():
-        long_marks, small = None, windows
-    else:
-        windows = windows.checkpoint()
-        small = windows.join(large, "_prefix", "left_anti")
-        long_marks = _lengthened(windows.join(large, "_prefix", "left_semi"))
-    grouped = small.repartition(partitions_for(spark), "_prefix").sortWithinPartitions("_prefix")
-    found = map_batches(grouped, _subtrees, MARKS)
-    if long_marks is not None:
-        found = found.unionByName(long_marks)
-    return found.groupBy("_id", "_sha").agg(F.collect_set(F.struct("_first", "_mask")).alias("_windows"))
-
-
-def _lengthened(windows: DataFrame) -> DataFrame:
-    """Marks under prefixes of too many anchors: nodes at full depth as aggregates, joined back to their windows."""
-    each = F.expr("transform(sequence(0, octet_length(_labels) div 8 - 1), i -> struct(i as i, substring(_labels, 8 * i + 1, 8) as l))")
-    single = windows.select("_prefix", "_id", "_sha", "_first", F.explode(each).alias("_w")).select("_prefix", "_id", "_sha", "_first", F.col("_w.i").alias("_i"), F.col("_w.l").alias("_label"))
-    least = single.groupBy("_prefix", "_label").agg(F.min("_id").alias("_least"), F.max("_id").alias("_most")).where("_least <> _most").drop("_most").checkpoint()
-    met = single.join(least, ["_prefix", "_label"]).where("_id > _least")
-    return met.groupBy("_id", "_sha", "_first").agg(F.bit_or(F.expr("shiftleft(1L, _i)")).alias("_mask"))
+    windows = map_batches(texts, _windows, WINDOWS)
+    grouped = windows.repartition(partitions_for(spark), "_prefix", "_part").sortWithinPartitions("_prefix", "_part")
+    found = map_batches(grouped, _subtrees, FOUND).checkpoint()
+    marked = found.where("_kind = 0").select("_id", "_sha", "_first", "_mask")
+    packs = found.where("_kind = 1").select("_prefix", "_part", "_pack", "_data")
+    if not packs.isEmpty():
+        merged = packs.groupBy("_prefix", "_pack").applyInArrow(_merge, "_prefix long, _part long, _data binary")
+        rows = found.where("_kind = 2").groupBy("_prefix", "_part")
+        marked = marked.unionByName(rows.cogroup(merged.groupBy("_prefix", "_part")).applyInArrow(_mark_part, MARKS))
+    return marked.groupBy("_id", "_sha").agg(F.collect_set(F.struct("_first", "_mask")).alias("_windows"))
 
 
 def removed(n_words: int, windows: list) -> np.ndarray:
