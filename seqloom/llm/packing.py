@@ -3,7 +3,8 @@
 A document is its token ids and one separator id. Only documents longer than a sequence are cut: into whole
 sequences, of which the first piece may be shorter. Whole pieces fill a sequence each. The others are dealt by a seeded hash to
 groups of about ``GROUP`` documents; a group is packed by best fit on falling lengths and then improved: moves of a document,
-exchanges of one for one and of two for one between underfull bins, each raising the sum of squared fills, until bins run empty.
+exchanges of one for one and of two for one between any two underfull bins, each raising the sum of squared fills, until bins run empty and
+the least possible number of bins is reached or no move or exchange is left that raises it.
 Groups of this size leave at most a bin each that a packing of the whole corpus might save, a fraction of a thousandth.
 
 Defined cases. Null text counts as empty: one separator. Rows with one id, or null ids, are documents of their own and stay. Ties
@@ -13,12 +14,12 @@ not read, so their names cannot clash.
 
 from __future__ import annotations
 
+import heapq
 import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,6 @@ from seqloom.llm.bpe import byte_symbols
 from seqloom.llm.common import id_and_text, map_batches
 
 CAPACITY, SEPARATOR, GROUP = 2048, 0, 4096
-#: Of each round of the search, the emptiest bins that try to give up what they hold; rounds; and bins each of them looks at.
-DONORS, ROUNDS, PARTNERS = 48, 3, 1500
 #: Words whose ids a worker remembers; beyond, it starts anew.
 REMEMBERED = 600_000
 
@@ -150,51 +149,109 @@ def best_fit(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
-def _exchange(donor: list[int], other: list[int], sizes: list[int], room: int, donor_fill: int, other_fill: int) -> tuple[list[int], list[int]] | None:
-    """What to take from the donor and what to give it back, so that the other bin gains the most within its room and squares grow."""
-    best, found = 0, None
-    for take in [*([x] for x in donor), *map(list, combinations(donor, 2))]:
-        taken = sum(sizes[x] for x in take)
-        back = [[], *([x] for x in other)] if len(take) == 1 else [[x] for x in other]
-        if len(take) == 1:
-            back += map(list, combinations(other, 2))
-        for give in back:
-            gain = taken - sum(sizes[x] for x in give)
-            # moving `gain` from the donor to the other raises the sum of squares if the other then holds more than the donor did
-            if best < gain <= room and other_fill + gain > donor_fill:
-                best, found = gain, (take, give)
-    return found
+def _sums(items: list[int], sizes: list[int]) -> tuple[dict[int, tuple[int, ...]], dict[int, tuple[int, ...]]]:
+    """An item of each size in a bin, and two items of each sum of two. Sizes that differ are few: their sum is a capacity at most."""
+    of: dict[int, list[int]] = {}
+    for x in items:
+        of.setdefault(sizes[x], []).append(x)
+    two: dict[int, tuple[int, ...]] = {}
+    for a, own in of.items():
+        if len(own) > 1:
+            two.setdefault(2 * a, (own[0], own[1]))
+        for b, more in of.items():
+            if a < b:
+                two.setdefault(a + b, (own[0], more[0]))
+    return {a: (own[0],) for a, own in of.items()}, two
+
+
+class _Gives:
+    """What bins can give, by reach: the sum given and the bin's room, so the largest sum it can then take. Of each reach the least sum is known."""
+
+    def __init__(self, capacity: int):
+        self.least = np.full(capacity + 1, capacity + 1, np.int32)
+        self.heaps: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.holders: dict[tuple[int, int], dict[int, None]] = {}
+
+    def add(self, at: int, room: int, sums: Iterable[int]) -> None:
+        for s in sums:
+            own = self.holders.setdefault((room + s, s), {})
+            if not own:
+                heapq.heappush(self.heaps[room + s], s)
+                self.least[room + s] = self.heaps[room + s][0]
+            own[at] = None
+
+    def remove(self, at: int, room: int, sums: Iterable[int]) -> None:
+        for s in sums:
+            own = self.holders[room + s, s]
+            del own[at]
+            if not own:
+                del self.holders[room + s, s]
+                heap = self.heaps[room + s]
+                while heap and (room + s, heap[0]) not in self.holders:
+                    heapq.heappop(heap)
+                self.least[room + s] = heap[0] if heap else len(self.least)
+
+    def find(self, taken: int, room: int) -> tuple[int, int] | None:
+        """The least sum to give for ``taken`` of a donor with that room so that squares grow, and its bin.
+
+        The other bin gains ``taken`` less the sum: at most its room, so its reach is ``taken`` at least. The sum of squares rises if it then holds
+        more than the donor did, so if its reach is less than ``taken`` and the donor's room.
+        """
+        window = self.least[taken : taken + room]
+        if not len(window) or (s := int(window[k := int(window.argmin())])) >= taken:
+            return None
+        return s, next(iter(self.holders[taken + k, s]))
 
 
 def local_search(bins: list[list[int]], sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
-    """Bins after moves and exchanges between underfull ones. It ends at the least possible number of bins or when a round frees none."""
+    """Bins after moves and exchanges between all underfull ones. It ends at the least possible number of bins, or when no move or exchange
+    of any two bins raises the sum of squared fills."""
     least = -(-sum(sizes) // capacity)
-    bins = [list(b) for b in bins]
+    bins = [list(b) for b in bins if b]
+    count = len(bins)
+    if count <= least:
+        return bins
     fills = [sum(sizes[x] for x in b) for b in bins]
-    for _ in range(ROUNDS):
-        if sum(map(bool, bins)) <= least:
-            break
-        under = sorted((k for k in range(len(bins)) if 0 < fills[k] < capacity), key=lambda k: (fills[k], k))
-        freed = changed = 0
-        for donor in under[:DONORS]:
-            for other in [k for k in reversed(under) if k != donor][:PARTNERS]:
-                room = capacity - fills[other]
-                if not bins[donor] or not room or not bins[other] or fills[other] < fills[donor]:
-                    continue
-                if (found := _exchange(bins[donor], bins[other], sizes, room, fills[donor], fills[other])) is None:
-                    continue
-                take, give = found
-                bins[donor] = [x for x in bins[donor] if x not in take] + give
-                bins[other] = [x for x in bins[other] if x not in give] + take
-                gain = sum(sizes[x] for x in take) - sum(sizes[x] for x in give)
-                fills[donor] -= gain
-                fills[other] += gain
-                changed += 1
-            freed += not bins[donor]
-            if sum(map(bool, bins)) <= least:
-                break
-        if not changed or not freed:
-            break
+    sums = [_sums(b, sizes) for b in bins]
+    # for one item a bin gives none, one or two; for two it gives one
+    for_one, for_two = _Gives(capacity), _Gives(capacity)
+
+    def enter(k: int, leave: bool = False) -> None:
+        if 0 < fills[k] < capacity:
+            one, two = sums[k]
+            (for_one.remove if leave else for_one.add)(k, capacity - fills[k], {0, *one, *two})
+            (for_two.remove if leave else for_two.add)(k, capacity - fills[k], one)
+
+    for k in range(len(bins)):
+        enter(k)
+    changed = True
+    while changed and count > least:
+        changed = False
+        for donor in sorted(range(len(bins)), key=lambda k: (fills[k], k)):
+            while count > least and 0 < fills[donor] < capacity:
+                enter(donor, leave=True)
+                best = None
+                for gives, held in ((for_one, sums[donor][0]), (for_two, sums[donor][1])):
+                    for taken in sorted(held, reverse=True):
+                        if best and taken <= best[0]:
+                            break
+                        if (found := gives.find(taken, capacity - fills[donor])) and (not best or taken - found[0] > best[0]):
+                            best = taken - found[0], held[taken], *found
+                if not best:
+                    enter(donor)
+                    break
+                gain, take, s, other = best
+                enter(other, leave=True)
+                one, two = sums[other]
+                give = () if not s else one[s] if s in one else two[s]
+                bins[donor] = [x for x in bins[donor] if x not in take] + list(give)
+                bins[other] = [x for x in bins[other] if x not in give] + list(take)
+                for k, more in ((donor, -gain), (other, gain)):
+                    fills[k] += more
+                    sums[k] = _sums(bins[k], sizes)
+                    enter(k)
+                count -= not bins[donor]
+                changed = True
     return [b for b in bins if b]
 
 

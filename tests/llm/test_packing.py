@@ -1,6 +1,7 @@
 import random
 import zlib
 from collections import defaultdict
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -84,3 +85,36 @@ def test_pack_against_brute_force(spark):
             at += n
         assert at <= 2048
     assert len(sequences) <= 1 + -(-sum(len(v) for v in whole.values()) // 2048) + 1
+
+
+def raises_squares(a, b, sizes, capacity):
+    """Whether a move, or an exchange of one for one, two for one or one for two, of two bins raises the sum of squared fills."""
+    fill_a, fill_b = sum(sizes[x] for x in a), sum(sizes[x] for x in b)
+    for k, give in ((1, 0), (1, 1), (2, 1), (1, 2)):
+        for take in combinations(a, k):
+            for back in combinations(b, give):
+                gain = sum(sizes[x] for x in take) - sum(sizes[x] for x in back)
+                if 0 < gain <= capacity - fill_b and fill_b + gain > fill_a:
+                    return True
+    return False
+
+
+def test_search_ends_at_the_least_number_or_where_no_pair_of_bins_can_raise_squares():
+    rng = random.Random(8)
+    for low, high, n in ((400, 1000, 500), (300, 700, 400), (90, 700, 60), (1, 2048, 90)):
+        sizes = [rng.randint(low, high) for _ in range(n)]
+        found = packing.local_search(packing.best_fit(sizes), sizes)
+        assert valid(found, sizes, 2048)
+        if len(found) > -(-sum(sizes) // 2048):
+            assert not any(raises_squares(a, b, sizes, 2048) for a in found for b in found if a is not b)
+
+
+def test_search_empties_more_bins_than_a_few_donors_hold():
+    rng, sizes = random.Random(5), []
+    for _ in range(1365):  # triples that fill a bin
+        a = rng.randint(500, 860)
+        b = rng.randint(500, 1648 - a)
+        sizes += [a, b, 2048 - a - b]
+    start = packing.best_fit(sizes)
+    found = packing.local_search(start, sizes)
+    assert valid(found, sizes, 2048) and len(start) - len(found) > 48
