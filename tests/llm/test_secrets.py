@@ -60,3 +60,21 @@ def test_redact(spark, rows):
     assert secrets.redact(df).columns == df.columns and len(out) == len({(k, s) for k, _, s in rows})
     assert out[0, "src0", "clash"] == rows[0][1].replace(f'"{HEX}"', '"[SECRET]"') and out[1, "src0", "clash"] == rows[1][1]
     assert out[None, None, "clash"] == out[0, "src0", "clash"] and out[4, "src0", "clash"] == "" and out[5, "src0", "clash"] is None
+
+
+def test_context_holds_neighbouring_candidates(spark, rows):
+    got = sorted(((r._id, r._start, r._left, r._right) for r in secrets.candidates(frame(spark, rows)).collect()), key=str)
+    want = []
+    for key, text, _ in rows:
+        for m in regex.finditer(secrets.CANDIDATE, text or ""):
+            want.append((key, m.start(), text[: m.start()][-secrets.BEFORE :], text[m.end() :][: secrets.AFTER]))
+    assert got == sorted(want, key=str)
+
+
+def test_long_names_of_variables(spark):
+    key = "Zq8vK3mP1xT7bN5wR2cY9dL4hJ6gF0sQaVuE8iO1"
+    forms = ['AWS_SECRET_ACCESS_KEY = "{}"', "GITHUB_ACCESS_TOKEN={}", 'STRIPE_SECRET_KEY="{}"', "production_database_password: '{}'"]
+    plain = ['EXAMPLE_ACCESS_TOKEN = "{}"', "sha256_checksum_of_file: {}", 'PLACEHOLDER_SECRET_KEY="{}"']
+    texts = [f"some words here\n{x}\nmore words".format(v) for x in forms for v in (key, HEX)] + [f"some words here\n{x}\nmore words".format(HEX) for x in plain]
+    got = {(r._id, r._secret) for r in secrets.scan(frame(spark, [(k, t, "src0") for k, t in enumerate(texts)])).collect()}
+    assert got == {(k, (key, HEX)[k % 2]) for k in range(2 * len(forms))}
