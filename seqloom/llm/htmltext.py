@@ -38,8 +38,10 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 CLOSED_BY_P = set("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 PATH_DIM, WORD_DIM, EXTRA, HIDDEN_DIM = 160, 32, 8, 24
-#: Of a path, the last so many elements are read; the rest of a deep path says little about a block.
+#: Elements of a path next to the block that weigh alike; one further out weighs this depth over its own.
 DEPTH = 12
+#: Words of a block that add up as they are; the sum over more is scaled to the length of one over so many.
+WORDS = 24
 MODEL_PAGES, EPOCHS = 1200, 7
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
@@ -123,11 +125,12 @@ def _slot(word: str, size: int) -> tuple[int, float]:
 @lru_cache(maxsize=50_000)
 def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     v = np.zeros(PATH_DIM, np.float32)
-    for depth, element in enumerate(reversed(path[-DEPTH:])):
+    for depth, element in enumerate(reversed(path)):
+        weight = min(1.0, DEPTH / (depth + 1))
         tag, *names = element.split(".")
         for word in (f"tag {tag}", *(f"name {x}" for x in names), *([f"leaf {tag}"] if not depth else [])):
             k, sign = _slot(word, PATH_DIM)
-            v[k] += sign
+            v[k] += weight * sign
     return v
 
 
@@ -137,9 +140,10 @@ def vectors(page: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
     for row, (path, text, linked) in zip(out, page, strict=True):
         row[:PATH_DIM] = _path_vector(path)
         words = text.lower().split()
-        for word in words[:24]:
+        share = 0.15 * min(1.0, (WORDS / max(1, len(words))) ** 0.5)
+        for word in words:
             k, sign = _slot(word, WORD_DIM)
-            row[PATH_DIM + k] += 0.15 * sign
+            row[PATH_DIM + k] += share * sign
         size = len(text)
         row[PATH_DIM + WORD_DIM :] = (min(size, 600) / 300, len(words) > 8, text[-1:] in ".!?", min(1.0, linked / size), "©" in text or "copyright" in text.lower(), text.isupper(), size < 20, 1.0)
     return out

@@ -74,3 +74,12 @@ def test_labels_do_not_depend_on_other_pages(net):
     rng = random.Random(5)
     pages = [htmltext.made_page(rng)[0] for _ in range(40)]
     assert htmltext.main_texts(net, pages) == [htmltext.main_texts(net, [p])[0] for p in pages]
+
+
+def test_vectors_read_all_words_and_all_of_a_path():
+    lead = "word " * 40
+    a, b = (htmltext.vectors([(("body", "p"), lead + x + " end.", 0)])[0, : htmltext.PATH_DIM + htmltext.WORD_DIM] for x in ("subscribe", "therefore"))
+    assert (a != b).any()
+    deep = ("div",) * 30
+    c, d = (htmltext.vectors([((x, *deep), "some text", 0)])[0] for x in ("section.comments", "section.story"))
+    assert (c != d).any()
