@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of text in one Arrow batch. Texts of 100,000 characters then still make batches of some tens of MB.
+from seqloom.functions.batches import bounded
+
+#: Rows of text that a kernel sees at once; fewer where they would exceed the bytes of a piece.
 ARROW_ROWS = 256
 
 
@@ -21,10 +23,24 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with batches small enough for long texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    return df.mapInArrow(fn, schema)
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = ARROW_ROWS) -> DataFrame:
+    """mapInArrow in pieces of bounded rows and bytes."""
+    return df.mapInArrow(bounded(fn, rows), schema)
+
+
+class Renamed:
+    """A frame under column names of its own, with which an operator's cannot clash."""
+
+    def __init__(self, df: DataFrame):
+        self.names = df.columns
+        self.frame = df.toDF(*[f"column{k}" for k in range(len(self.names))])
+
+    def at(self, name: str) -> Column:
+        return F.col(f"column{self.names.index(name)}")
+
+    def back(self, df: DataFrame, new: dict[str, Column] | None = None) -> DataFrame:
+        """The columns of the frame, those in ``new`` replaced, under their old names."""
+        return df.select(*[(new or {}).get(n, F.col(f"column{k}")).alias(n) for k, n in enumerate(self.names)])
 
 
 def partitions_for(spark: SparkSession) -> int:
@@ -32,7 +48,10 @@ def partitions_for(spark: SparkSession) -> int:
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Keeps the folder that the cluster names; sets one of its own only where none is set, as in tests."""
-    if not spark.sparkContext.getCheckpointDir():
+    """Keeps the folder that the cluster names. Only a local session, whose executors are the driver, may have a folder of its own."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or "/tmp/seqloom-checkpoints")
+        if not named and context.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or "/tmp/seqloom-checkpoints")

@@ -1,22 +1,25 @@
-"""Substring dedup over whole texts: windows of words that also start in a document with a smaller id.
-
-The method is a suffix tree cut up by prefixes, reduced to what decides: nodes at a depth of ``WINDOW`` words or more.
-
-1. Suffixes are represented by anchors. The least hash among the word 8-grams of a window is its prefix, so equal windows have
-   equal prefixes, and consecutive windows of one prefix make a row. There is about one row for 22 positions, one for 62 in periodic
-   text. Prefixes found in one document only lead to no repeat and are dropped: that leaves the shared ones, with their numbers of rows.
-2. Of documents with shared prefixes, each row holds the path labels of its windows: a hash of all ``WINDOW`` words. A prefix of up
-   to ``GROUP`` rows is one subtree in memory, whose nodes at depth ``WINDOW`` are the runs of equal labels. A prefix of more is split into
-   parts of that size. Their nodes are lengthened prefixes: dealt by label in packs of bounded size, merged, and sent back to the parts
-   that hold them, so no task holds a hot prefix or a hot passage whole.
-3. A node with two or more documents is a repeat. Windows in documents other than the least are marked, and the words they cover go.
-
-Labels are 64-bit hashes under equal 64-bit prefixes, so equality is decided by 128 bits.
+"""Substring dedup over whole texts by prefix-partitioned suffix trees: windows of words that also start in a document with a smaller id.
+
+Every window of ``WINDOW`` words is the head of a suffix. A suffix tree over all of them is cut up by prefixes into groups that fit in memory:
+
+1. Prefixes. A window's prefix is the run of ``PREFIX`` words in it with the least hash, the first of equals. Neighbouring windows mostly share it, so they
+   make one row: a span of words with up to ``ROW_WINDOWS`` suffixes in it. Equal windows have equal prefixes. Prefixes found in one document
+   only lead to no repeat and are dropped.
+2. Lengthening. A prefix with more than ``GROUP`` rows is lengthened to ``LONGER`` words: to the right where the run starts in the first
+   ``LEFT`` words of the window, else to the left by ``LEFT`` words, so the longer run is part of the window again. Longer prefixes of one document only are dropped.
+3. Subtrees. The suffixes of a group are sorted by their words (ranks of 1, 3, 6, 12, 24, 48 and 50 words, each made of two of the ones before)
+   and the words that neighbours have in common are counted. Suffixes between two counts under ``WINDOW`` hang from one internal node at that depth or
+   below: they are a repeat if they come from two documents. Words are compared, not hashes, which only deal rows to groups.
+4. A longer prefix that still has more than ``GROUP`` rows is a passage that many documents share. Its rows are split into parts of that size, whose
+   subtrees are made apart. Their nodes meet by a hash of their words in packs of bounded size; a node of several parts is then proved:
+   all parts send its words, and where one hash stands for several word sequences the nodes meet again by the words themselves. So no
+   task holds a hot prefix or a hot passage whole.
+5. Windows below a node in documents other than its least are marked, and the words they cover go.
 
 Defined cases. Null text counts as empty: no words. Fewer words than a window: nothing to remove. A null id: nothing is removed and the text is
 no source. Rows that share an id are one document with several texts: none of them has the smaller id, so they
 remove nothing from one another. Repeated rows stay repeated, with equal results. Empty table: empty result. Texts of any length are read whole. Extra
-columns are not read by ``marks``; ``cut`` returns them unchanged.
+columns are not read by ``marks``; ``cut`` returns them unchanged, whatever their names and types.
 """
 
 from __future__ import annotations
@@ -28,12 +31,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from seqloom.llm.common import id_and_text, map_batches, partitions_for, use_checkpoints
+from seqloom.llm.common import Renamed, id_and_text, map_batches, partitions_for, use_checkpoints
 
 WINDOW, PREFIX = 50, 8
-#: Rows of one prefix that make a subtree in memory, windows in a row (bits of a mask), and parts of a prefix to a pack of nodes.
+#: Words left of the run that a prefix lengthened to the left has; words of one lengthened to the right.
+LEFT = 22
+LONGER = WINDOW - LEFT + 1
+#: Rows of one prefix that make a subtree in memory, suffixes in a row (bits of a mask), and parts of a prefix to a pack of nodes.
 GROUP, ROW_WINDOWS, PARTS_EACH = 1000, 62, 16
+#: Subtrees are made of so many rows or bytes of spans in one go, and the group that ends them.
+TOGETHER, TOGETHER_BYTES = 4096, 16 << 20
+#: Bits of the hashes that deal suffixes and nodes; results don't depend on them.
+HASH_BITS = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -72,224 +83,388 @@ def word_hashes(raw: bytes) -> np.ndarray:
     return _mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64) * _BASE)
 
 
-def _grams(sums: np.ndarray, n: int) -> np.ndarray:
-    """A hash for each run of n words."""
-    count = len(sums) - n
-    return _mix((sums[n:] - sums[:count]) * _powers(len(sums))[1][:count] + np.uint64(n))
+def _grams(sums: np.ndarray, at: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """A hash for the run of n words at each place."""
+    h = _mix((sums[at + n] - sums[at]) * _powers(len(sums))[1][at] + np.uint64(n))
+    return h if bits == 64 else h & np.uint64((1 << bits) - 1)
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of each run of equal values, cut into runs of at most ``ROW_WINDOWS``."""
+    turns = np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1])
+    lengths = np.diff(np.concatenate([turns, [len(values)]]))
+    pieces = -(-lengths // ROW_WINDOWS)
+    own = np.repeat(turns, pieces)
+    first = own + ROW_WINDOWS * (np.arange(len(own)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    return first, np.minimum(first + ROW_WINDOWS, own + np.repeat(lengths, pieces)) - 1
 
 
 class Anchors:
     """Of a text: rows of consecutive windows with one prefix, as the prefix, the first and the last window."""
 
-    def __init__(self, raw: bytes):
+    def __init__(self, raw: bytes, bits: int = HASH_BITS):
         words = word_hashes(raw)
-        self.n_words = len(words)
+        self.n_words, self.bits = len(words), bits
         self.prefix = np.zeros(0, np.int64)
         if len(words) < WINDOW:
             return
         self.sums = _sums(words)
-        least, size, wide = _grams(self.sums, PREFIX), 1, WINDOW - PREFIX + 1
+        self.grams = _grams(self.sums, np.arange(len(words) - PREFIX + 1), PREFIX, bits)
+        least, size, wide = self.grams, 1, WINDOW - PREFIX + 1
         while size * 2 <= wide:
             least = np.minimum(least[:-size], least[size:])
             size *= 2
-        if wide > size:
-            least = np.minimum(least[: size - wide], least[wide - size :])
-        turns = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-        lengths = np.diff(np.concatenate([turns, [len(least)]]))
-        pieces = -(-lengths // ROW_WINDOWS)
-        own = np.repeat(turns, pieces)
-        self.first = own + ROW_WINDOWS * (np.arange(len(own)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-        self.last = np.minimum(self.first + ROW_WINDOWS, own + np.repeat(lengths, pieces)) - 1
-        self.prefix = least[self.first].view(np.int64)
-
-    def labels(self) -> np.ndarray:
-        """A hash of the words of each window."""
-        return _grams(self.sums, WINDOW)
+        self.least = np.minimum(least[: size - wide], least[wide - size :]) if wide > size else least
+        self.first, self.last = _runs(self.least)
+        self.prefix = self.least[self.first].view(np.int64)
+
+    def longer(self) -> np.ndarray:
+        """The lengthened prefix of each window."""
+        windows, wide = np.arange(len(self.least)), WINDOW - PREFIX + 1
+        # the first place from a window on that has its least hash: of each hash's places, in order, the next one
+        order = np.lexsort((np.arange(len(self.grams)), self.grams))
+        rank = np.empty(len(order), np.int64)
+        values, of_gram = np.unique(self.grams, return_inverse=True)
+        rank = of_gram[order].astype(np.int64) * len(order) + order
+        at = order[np.searchsorted(rank, np.searchsorted(values, self.least) * len(order) + windows)]
+        assert ((at >= windows) & (at < windows + wide)).all()
+        right = at - windows < LEFT
+        out = np.empty(len(windows), np.uint64)
+        out[right] = _grams(self.sums, at[right], LONGER, self.bits)
+        out[~right] = _grams(self.sums, at[~right] - LEFT, LEFT + PREFIX, self.bits)
+        return out.view(np.int64)
 
 
 def _raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _arrow(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], _names(schema))
+
+
+def _anchors(bits: int):
     """_id, _text to _prefix, _id, _n: each prefix of a text once, with its number of rows."""
-    for batch in batches:
-        prefixes, keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = Anchors(_raw(text))
-            if len(found.prefix):
-                own, n = np.unique(found.prefix, return_counts=True)
-                prefixes.append(own)
-                counts.append(n)
-                keys.append(np.full(len(own), key))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (prefixes, keys, counts)], ["_prefix", "_id", "_n"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefixes, keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = Anchors(_raw(text), bits)
+                if len(found.prefix):
+                    own, n = np.unique(found.prefix, return_counts=True)
+                    prefixes.append(own)
+                    counts.append(n)
+                    keys.append(np.full(len(own), key))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (prefixes, keys, counts)], ["_prefix", "_id", "_n"])
 
-WINDOWS = "_prefix long, _part long, _parts long, _id long, _sha long, _first long, _labels binary"
+    return run
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """_id, _sha, _text, _shared (prefixes and their parts) to the rows of windows."""
-    kinds = [*[pa.int64()] * 6, pa.binary()]
-    for batch in batches:
-        rows = []
-        for key, sha, text, shared in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            found = Anchors(_raw(text))
-            if not len(found.prefix):
-                continue
-            labels, parts = found.labels(), {x["_prefix"]: x["_parts"] for x in shared}
-            for prefix, a, b in zip(found.prefix.tolist(), found.first.tolist(), found.last.tolist(), strict=True):
-                n = parts.get(prefix)
-                if n:
-                    rows.append((prefix, hash((key, sha, a)) % n, n, key, sha, a, labels[a : b + 1].tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [x.split()[0] for x in WINDOWS.split(", ")])
-
-
-class Flat:
-    """The windows of rows one by one: label, row, place in its row and id; ``groups`` numbers the subtree of each row."""
-
-    def __init__(self, groups: np.ndarray, ids: np.ndarray, labels: list[bytes]):
-        lengths = np.array([len(x) // 8 for x in labels], np.int64)
-        self.rows = len(ids)
-        self.label = np.frombuffer(b"".join(labels), "<u8")
-        self.row = np.repeat(np.arange(len(ids)), lengths)
-        self.place = np.arange(len(self.label)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        self.id, self.group = ids[self.row], groups[self.row]
-
-    def nodes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Windows in the order of their nodes (group, label) and then ids, and where nodes start in it."""
-        order = np.lexsort((self.id, self.label, self.group))
-        label, group = self.label[order], self.group[order]
-        return order, np.flatnonzero(np.concatenate([[True], (label[1:] != label[:-1]) | (group[1:] != group[:-1])]))
-
-    def masks(self, marked: np.ndarray) -> np.ndarray:
-        out = np.zeros(self.rows, np.int64)
+#: Rows of a prefix: its part of so many, id and hash of the text, first window, and the words from its first window to the end of its last.
+SPANS = "_prefix long, _part long, _parts long, _id long, _sha long, _first long, _span binary"
+
+
+def _spans(bits: int):
+    """_id, _sha, _text, _shared (prefixes and their parts) to rows; those of a prefix with parts by its lengthened form."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key, sha, text, shared in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw = _raw(text)
+                found = Anchors(raw, bits)
+                if not len(found.prefix):
+                    continue
+                words, parts, longer = raw.split(), {x["_prefix"]: x["_parts"] for x in shared}, None
+                for prefix, a, b in zip(found.prefix.tolist(), found.first.tolist(), found.last.tolist(), strict=True):
+                    n = parts.get(prefix)
+                    if n == 1:
+                        rows.append((prefix, 0, 1, key, sha, a, b" ".join(words[a : b + WINDOW])))
+                    elif n:
+                        longer = found.longer() if longer is None else longer
+                        firsts, lasts = _runs(longer[a : b + 1])
+                        for x, y in zip((firsts + a).tolist(), (lasts + a).tolist(), strict=True):
+                            rows.append((int(longer[x]), hash((key, sha, x)) % n, n, key, sha, x, b" ".join(words[x : y + WINDOW])))
+            yield _arrow(SPANS, rows)
+
+    return run
+
+
+class Subtree:
+    """The suffixes of spans, each at least a window long, as the leaves of a suffix tree cut off at depth ``WINDOW``.
+
+    ``row``, ``place``: of each leaf its row and its window in it; ``order`` sorts leaves by their words, ``common`` is the number of words
+    that each shares with the one before in that order (0 for the first), and ``node`` numbers the internal nodes at depth ``WINDOW`` or
+    below that leaves hang from. Equal spans are sorted once.
+    """
+
+    def __init__(self, spans: list[bytes]):
+        known: dict[bytes, int] = {}
+        at = np.array([known.setdefault(x, len(known)) for x in spans], np.int64)
+        words = b" ".join(known).split(b" ") if known else []
+        self.words = sorted(set(words))
+        rank = {w: k for k, w in enumerate(self.words)}
+        self.ids = np.fromiter(map(rank.__getitem__, words), np.int64, len(words))
+        lengths = np.array([x.count(b" ") + 1 for x in known], np.int64)
+        starts, windows = np.cumsum(lengths) - lengths, lengths - WINDOW + 1
+        first = np.cumsum(windows) - windows
+        #: of each distinct window, its first word in ``ids``
+        self.heads = np.repeat(starts - first, windows) + np.arange(int(windows.sum()))
+        self._sort()
+        # rows with equal spans have the leaves of the one that was sorted
+        n = windows[at]
+        self.row = np.repeat(np.arange(len(spans)), n)
+        self.place = np.arange(len(self.row)) - np.repeat(np.cumsum(n) - n, n)
+        self.leaf = np.repeat(first[at], n) + self.place
+        self.node = self._nodes[self.leaf]
+
+    def _sort(self) -> None:
+        """Ranks of longer and longer runs: the rank of a pair of runs stands for the runs laid end to end."""
+        ranks = {1: self.ids}
+
+        def pair(size: int, half: int, at: np.ndarray | None = None) -> np.ndarray:
+            left, right = (ranks[half], ranks[half][size - half :]) if at is None else (ranks[half][at], ranks[half][at + size - half])
+            left = left[: len(right)]
+            return np.unique(left * (int(right.max(initial=0)) + 1) + right, return_inverse=True)[1]
+
+        self.order = self.common = self._nodes = np.zeros(0, np.int64)
+        if not len(self.heads):
+            return
+        for size, half in ((2, 1), (3, 2), (6, 3), (12, 6), (24, 12), (48, 24)):
+            ranks[size] = pair(size, half)
+        whole = pair(WINDOW, 48, self.heads)
+        self.order = np.argsort(whole, kind="stable")
+        a, b = self.heads[self.order[:-1]], self.heads[self.order[1:]]
+        same = np.zeros(len(a), np.int64)
+        for size in (48, 24, 12, 6, 3, 1, 1):
+            fits = np.flatnonzero(same + size <= WINDOW)
+            same[fits] += size * (ranks[size][a[fits] + same[fits]] == ranks[size][b[fits] + same[fits]])
+        self.common = np.concatenate([[0], same])
+        self._nodes = np.empty(len(self.heads), np.int64)
+        self._nodes[self.order] = np.cumsum(self.common < WINDOW) - 1
+
+    def ends(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest id below each node. ids: of the rows."""
+        n = int(self._nodes.max(initial=-1)) + 1
+        least, most = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
+        np.minimum.at(least, self.node, ids[self.row])
+        np.maximum.at(most, self.node, ids[self.row])
+        return least, most
+
+    def masks(self, marked: np.ndarray, rows: int) -> np.ndarray:
+        """Of each row a mask of its marked leaves."""
+        out = np.zeros(rows, np.int64)
         np.bitwise_or.at(out, self.row[marked], np.int64(1) << self.place[marked])
         return out
 
+    def one_of_each(self) -> np.ndarray:
+        """The first word of one window below each node."""
+        out = np.empty(int(self._nodes.max(initial=-1)) + 1, np.int64)
+        out[self._nodes] = self.heads
+        return out
+
+    def labels(self, heads: np.ndarray, bits: int) -> np.ndarray:
+        """A hash of the words of windows."""
+        own, powers = word_hashes(b" ".join(self.words)), _powers(WINDOW)[0][:WINDOW]
+        out = np.zeros(len(heads), np.uint64)
+        for k in range(0, len(heads), 4096):
+            runs = own[self.ids[heads[k : k + 4096, None] + np.arange(WINDOW)]]
+            out[k : k + 4096] = _mix((runs * powers).sum(axis=1, dtype=np.uint64))
+        return out if bits == 64 else out & np.uint64((1 << bits) - 1)
+
+    def window(self, head: int) -> bytes:
+        return b" ".join([self.words[k] for k in self.ids[head : head + WINDOW]])
 
-def subtrees(groups: np.ndarray, ids: np.ndarray, labels: list[bytes]) -> np.ndarray:
-    """For each row a mask of its windows whose node also has a smaller id."""
-    flat = Flat(groups, ids, labels)
-    order, heads = flat.nodes()
-    least = np.repeat(flat.id[order][heads], np.diff(np.concatenate([heads, [len(order)]])))
-    return flat.masks(order[flat.id[order] > least])
 
+def marked_by_tree(ids: np.ndarray, spans: list[bytes]) -> np.ndarray:
+    """For each row a mask of its suffixes below a node that also has a smaller id."""
+    tree = Subtree(spans)
+    least, _ = tree.ends(ids)
+    return tree.masks(np.flatnonzero(ids[tree.row] > least[tree.node]), len(ids))
 
-#: kind 0: marks of a row of windows; 1: a pack of a part's nodes (label, least and greatest id); 2: a row of windows of a part.
-FOUND = "_kind int, _prefix long, _part long, _pack long, _id long, _sha long, _first long, _mask long, _data binary"
+
+#: kind 0: marks of a row; 1: a row of a prefix with several parts; 2: a pack of a part's nodes; 3: a node of several parts, with its words.
+FOUND = "_kind int, _prefix long, _part long, _parts long, _id long, _sha long, _first long, _mask long, _data binary"
+#: A node: the hash of its words, least and greatest id; as packs come back, in place of the latter the number of nodes of that hash.
 _NODE = np.dtype([("label", "<u8"), ("least", "<i8"), ("most", "<i8")])
 
 
-def _batch(rows: dict[str, object], n: int) -> pa.RecordBatch:
+def _batch(n: int, **columns: object) -> pa.RecordBatch:
     cols = []
     for name, kind in (x.split() for x in FOUND.split(", ")):
         kind = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[kind]
-        cols.append(pa.array(rows[name], kind) if name in rows else pa.nulls(n, kind))
-    return pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in FOUND.split(", ")])
+        value = columns.get(name)
+        cols.append(pa.nulls(n, kind) if value is None else pa.array(np.full(n, value) if isinstance(value, int) else value, kind))
+    return pa.RecordBatch.from_arrays(cols, _names(FOUND))
 
 
-def _settled(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Whole groups of (prefix, part): marks of those that are a prefix's only part; packs of nodes and the rows of the others."""
+def _settled(rows: pa.Table, nodes: bool, bits: int) -> Iterator[pa.RecordBatch]:
+    """Whole groups of (prefix, part): marks of those that are a prefix's only part; rows of the others, and with ``nodes`` packs of their nodes."""
     prefix, part, parts, ids, sha, first = (rows.column(k).to_numpy() for k in range(6))
-    labels = rows.column(6).to_pylist()
-    groups = np.cumsum(np.concatenate([[0], (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])]))
+    spans = rows.column(6).to_pylist()
     own = np.flatnonzero(parts == 1)
     if len(own):
-        masks = subtrees(groups[own], ids[own], [labels[k] for k in own])
+        masks = marked_by_tree(ids[own], [spans[k] for k in own])
         own, masks = own[masks != 0], masks[masks != 0]
-        yield _batch({"_kind": np.zeros(len(own), np.int32), "_id": ids[own], "_sha": sha[own], "_first": first[own], "_mask": masks}, len(own))
+        yield _batch(len(own), _kind=0, _id=ids[own], _sha=sha[own], _first=first[own], _mask=masks)
     rest = np.flatnonzero(parts > 1)
     if not len(rest):
         return
-    for own in np.split(rest, np.flatnonzero(np.diff(groups[rest])) + 1):
-        flat = Flat(groups[own], ids[own], [labels[k] for k in own])
-        order, heads = flat.nodes()
-        made = np.zeros(len(heads), _NODE)
-        made["label"], made["least"] = flat.label[order][heads], flat.id[order][heads]
-        made["most"] = flat.id[order][np.concatenate([heads[1:], [len(order)]]) - 1]
+    yield _batch(len(rest), _kind=1, _prefix=prefix[rest], _part=part[rest], _parts=parts[rest], _id=ids[rest], _sha=sha[rest], _first=first[rest], _data=[spans[k] for k in rest])
+    if not nodes:
+        return
+    turns = np.flatnonzero((prefix[rest[1:]] != prefix[rest[:-1]]) | (part[rest[1:]] != part[rest[:-1]])) + 1
+    for own in np.split(rest, turns):
+        tree = Subtree([spans[k] for k in own])
+        made = np.zeros(len(heads := tree.one_of_each()), _NODE)
+        made["label"] = tree.labels(heads, bits)
+        made["least"], made["most"] = tree.ends(ids[own])
         packs = -(-int(parts[own[0]]) // PARTS_EACH)
         pack = (made["label"] % np.uint64(packs)).astype(np.int64)
         used = np.unique(pack)
-        same = lambda v, n: np.full(n, v)
-        yield _batch({"_kind": same(1, len(used)), "_prefix": same(prefix[own[0]], len(used)), "_part": same(part[own[0]], len(used)), "_pack": used, "_data": [made[pack == k].tobytes() for k in used]}, len(used))
-        yield _batch({"_kind": same(2, len(own)), "_prefix": prefix[own], "_part": part[own], "_id": ids[own], "_sha": sha[own], "_first": first[own], "_data": [labels[k] for k in own]}, len(own))
+        # the pack's number stands in _first
+        yield _batch(len(used), _kind=2, _prefix=int(prefix[own[0]]), _part=int(part[own[0]]), _first=used, _data=[made[pack == k].tobytes() for k in used])
 
 
-def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by prefix and part; groups are held until they are whole."""
-    kept: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        prefix, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        inner = np.flatnonzero((prefix != prefix[-1]) | (part != part[-1]))
-        at = int(inner[-1]) + 1 if len(inner) else 0
-        if not at and kept and (kept[-1].column(0)[-1].as_py(), kept[-1].column(1)[-1].as_py()) != (prefix[0], part[0]):
-            yield from _settled(pa.Table.from_batches(kept))
-            kept = []
-        elif at:
-            yield from _settled(pa.Table.from_batches([*kept, batch.slice(0, at)]))
-            kept = []
-        kept.append(batch.slice(at))
-    if kept:
-        yield from _settled(pa.Table.from_batches(kept))
+def _subtrees(nodes: bool, bits: int):
+    """Rows sorted by prefix and part; groups are held until they are whole and there are enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        held = size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            prefix, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            inner = np.flatnonzero((prefix != prefix[-1]) | (part != part[-1]))
+            at = int(inner[-1]) + 1 if len(inner) else 0
+            turned = at or kept and (kept[-1].column(0)[-1].as_py(), kept[-1].column(1)[-1].as_py()) != (prefix[0], part[0])
+            if turned and (held + at >= TOGETHER or size + batch.nbytes >= TOGETHER_BYTES):
+                yield from _settled(pa.Table.from_batches([*kept, batch.slice(0, at)]), nodes, bits)
+                kept, held, size, batch = [], 0, 0, batch.slice(at)
+            kept.append(batch)
+            held += batch.num_rows
+            size += batch.nbytes
+        if kept:
+            yield from _settled(pa.Table.from_batches(kept), nodes, bits)
+
+    return run
 
 
 def _merge(group: pa.Table) -> pa.Table:
-    """Packs of one prefix and range of labels, from all its parts: to each part, of its nodes those with two documents and their least."""
+    """Packs of one prefix and range of hashes, from all its parts: to each part, of its nodes those whose hash two documents have."""
     packs = [np.frombuffer(x, _NODE) for x in group.column("_data").to_pylist()]
     every = np.concatenate(packs)
-    labels, at = np.unique(every["label"], return_inverse=True)
+    labels, at, counts = np.unique(every["label"], return_inverse=True, return_counts=True)
     least, most = np.full(len(labels), np.iinfo(np.int64).max), np.full(len(labels), np.iinfo(np.int64).min)
     np.minimum.at(least, at, every["least"])
     np.maximum.at(most, at, every["most"])
     out = []
     for own in packs:
-        k = np.searchsorted(labels, own["label"])
+        k = np.unique(np.searchsorted(labels, own["label"]))
         k = k[least[k] < most[k]]
         made = np.zeros(len(k), _NODE)
-        made["label"], made["least"] = labels[k], least[k]
+        made["label"], made["least"], made["most"] = labels[k], least[k], counts[k]
         out.append(made.tobytes())
-    return pa.table({"_prefix": group.column("_prefix"), "_part": group.column("_part"), "_data": pa.array(out, pa.binary())})
+    none = pa.nulls(len(out), pa.int64())
+    return pa.table({"_prefix": group.column("_prefix"), "_part": group.column("_part"), "_least": none, "_data": pa.array(out, pa.binary())})
+
+
+#: What comes back to a part: a pack of nodes (_least null) or, where a hash stands for several word sequences, the words of a node and their least id.
+BACK = "_prefix long, _part long, _least long, _data binary"
+
+
+def _part_marks(bits: int, prove: bool):
+    """Rows of a part and what came back: the marks, and with ``prove`` the words of nodes whose hash other nodes have too."""
+
+    def run(rows: pa.Table, back: pa.Table) -> pa.Table:
+        ids = rows.column("_id").to_numpy()
+        if not len(ids):
+            return pa.Table.from_batches([_batch(0)])
+        tree = Subtree(rows.column("_data").to_pylist())
+        least, most = tree.ends(ids)
+        heads = tree.one_of_each()
+        labels = tree.labels(heads, bits)
+        is_pack = back.column("_least").is_null().to_numpy()
+        data, values = back.column("_data").to_pylist(), back.column("_least").to_pylist()
+        packs = np.concatenate([np.zeros(0, _NODE), *(np.frombuffer(x, _NODE) for x, p in zip(data, is_pack, strict=True) if p)])
+        packs = packs[np.argsort(packs["label"])]
+        exact = {x: v for x, v, p in zip(data, values, is_pack, strict=True) if not p}
+        whole, several = least.copy(), np.zeros(len(heads), bool)
+        if len(packs):
+            at = np.minimum(np.searchsorted(packs["label"], labels), len(packs) - 1)
+            met = packs["label"][at] == labels
+            whole[met] = np.minimum(whole[met], packs["least"][at[met]])
+            several = met & (packs["most"][at] > 1)
+        proofs = [(k, tree.window(int(heads[k]))) for k in np.flatnonzero(several)] if prove or exact else []
+        for k, words in proofs:
+            whole[k] = exact.get(words, whole[k])
+        masks = tree.masks(np.flatnonzero(ids[tree.row] > whole[tree.node]), len(ids))
+        own = np.flatnonzero(masks)
+        out = [_batch(len(own), _kind=0, _id=ids[own], _sha=rows.column("_sha").to_numpy()[own], _first=rows.column("_first").to_numpy()[own], _mask=masks[own])]
+        if prove and proofs:
+            k = np.array([k for k, _ in proofs])
+            place = rows.column("_prefix")[0].as_py(), rows.column("_part")[0].as_py()
+            # the hash stands in _parts, the least id of the part in _id
+            out.append(_batch(len(k), _kind=3, _prefix=place[0], _part=place[1], _parts=labels[k].view(np.int64), _id=least[k], _data=[w for _, w in proofs]))
+        return pa.Table.from_batches(out)
+
+    return run
 
 
-MARKS = "_id long, _sha long, _first long, _mask long"
+def _of_parts(rows: DataFrame, packs: DataFrame, bits: int) -> DataFrame:
+    """Marks of the rows of prefixes with several parts, from all nodes of all parts."""
+    merged = packs.groupBy("_prefix", "_first").applyInArrow(_merge, BACK).checkpoint()
+    by_part = rows.groupBy("_prefix", "_part")
+    found = by_part.cogroup(merged.groupBy("_prefix", "_part")).applyInArrow(_part_marks(bits, True), FOUND).checkpoint()
+    proofs = found.where("_kind = 3").select("_prefix", F.col("_parts").alias("_label"), "_part", F.col("_id").alias("_own"), F.col("_data").alias("_words"))
+    mixed = proofs.groupBy("_prefix", "_label").agg(F.min("_words").alias("_a"), F.max("_words").alias("_b")).where("_a <> _b").select("_prefix", "_label").checkpoint()
+    if mixed.isEmpty():
+        return found.where("_kind = 0")
+    open_ = proofs.join(mixed, ["_prefix", "_label"])
+    least = open_.groupBy("_prefix", "_words").agg(F.min("_own").alias("_least"))
+    exact = open_.join(least, ["_prefix", "_words"]).select("_prefix", "_part", "_least", F.col("_words").alias("_data"))
+    both = merged.unionByName(exact)
+    return by_part.cogroup(both.groupBy("_prefix", "_part")).applyInArrow(_part_marks(bits, False), FOUND).where("_kind = 0")
 
 
-def _mark_part(rows: pa.Table, packs: pa.Table) -> pa.Table:
-    """Rows of windows of a part and its nodes with two documents: the marks."""
-    nodes = np.concatenate([np.zeros(0, _NODE), *(np.frombuffer(x, _NODE) for x in packs.column("_data").to_pylist())])
-    nodes = nodes[np.argsort(nodes["label"])]
-    ids = rows.column("_id").to_numpy() if rows.num_rows else np.zeros(0, np.int64)
-    masks = np.zeros(len(ids), np.int64)
-    if len(nodes) and len(ids):
-        flat = Flat(np.zeros(len(ids), np.int64), ids, rows.column("_data").to_pylist())
-        at = np.minimum(np.searchsorted(nodes["label"], flat.label), len(nodes) - 1)
-        masks = flat.masks(np.flatnonzero((nodes["label"][at] == flat.label) & (nodes["least"][at] < flat.id)))
-    found = rows.select(["_id", "_sha", "_first"]).append_column("_mask", pa.array(masks))
-    return found.filter(pa.array(masks != 0))
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(partitions_for(rows.sparkSession), "_prefix", "_part").sortWithinPartitions("_prefix", "_part")
 
 
-def marks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def marks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = HASH_BITS) -> DataFrame:
     """_id, _sha (a hash of the text) and _windows: structs of the first window and a mask of marked windows from there on."""
     spark = df.sparkSession
     use_checkpoints(spark)
+    parts = lambda n: F.ceil(n / GROUP).cast("long").alias("_parts")
     docs = id_and_text(df, id_col, text_col).where("_id IS NOT NULL")
-    anchors = map_batches(docs, _anchors, "_prefix long, _id long, _n long").checkpoint()
+    anchors = map_batches(docs, _anchors(bits), "_prefix long, _id long, _n long").checkpoint()
     counts = anchors.groupBy("_prefix").agg(F.min("_id").alias("_a"), F.max("_id").alias("_b"), F.sum("_n").alias("_rows")).where("_a <> _b")
-    shared = counts.select("_prefix", F.ceil(F.col("_rows") / GROUP).cast("long").alias("_parts")).checkpoint()
+    shared = counts.select("_prefix", parts(F.col("_rows"))).checkpoint()
     own = anchors.select("_prefix", "_id").join(shared, "_prefix").groupBy("_id").agg(F.collect_set(F.struct("_prefix", "_parts")).alias("_shared"))
     texts = docs.join(own, "_id").select("_id", F.xxhash64("_text").alias("_sha"), "_text", "_shared")
-    windows = map_batches(texts, _windows, WINDOWS)
-    grouped = windows.repartition(partitions_for(spark), "_prefix", "_part").sortWithinPartitions("_prefix", "_part")
-    found = map_batches(grouped, _subtrees, FOUND).checkpoint()
-    marked = found.where("_kind = 0").select("_id", "_sha", "_first", "_mask")
-    packs = found.where("_kind = 1").select("_prefix", "_part", "_pack", "_data")
-    if not packs.isEmpty():
-        merged = packs.groupBy("_prefix", "_pack").applyInArrow(_merge, "_prefix long, _part long, _data binary")
-        rows = found.where("_kind = 2").groupBy("_prefix", "_part")
-        marked = marked.unionByName(rows.cogroup(merged.groupBy("_prefix", "_part")).applyInArrow(_mark_part, MARKS))
+    # rows of prefixes to be lengthened come out as they went in: their parts spread them before they are counted
+    found = map_batches(_dealt(map_batches(texts, _spans(bits), SPANS)), _subtrees(False, bits), FOUND, TOGETHER).checkpoint()
+    marked = found.where("_kind = 0")
+    long = found.where("_kind = 1").select("_prefix", "_part", "_id", "_sha", "_first", F.col("_data").alias("_span"))
+    if not long.isEmpty():
+        # a group of (prefix, part) has about GROUP rows, so neither the sums nor the join meet a hot key
+        some = long.groupBy("_prefix", "_part").agg(F.min("_id").alias("_a"), F.max("_id").alias("_b"), F.count(F.lit(1)).alias("_n"))
+        every = some.groupBy("_prefix").agg(F.min("_a").alias("_a"), F.max("_b").alias("_b"), F.sum("_n").alias("_n")).where("_a <> _b")
+        sizes = some.select("_prefix", "_part").join(every.select("_prefix", parts(F.col("_n"))), "_prefix")
+        rows = long.join(sizes, ["_prefix", "_part"])
+        rows = rows.withColumn("_part", F.pmod(F.xxhash64("_id", "_sha", "_first"), "_parts")).select(*_names(SPANS))
+        deep = map_batches(_dealt(rows), _subtrees(True, bits), FOUND, TOGETHER).checkpoint()
+        marked = marked.unionByName(deep.where("_kind = 0"))
+        packs = deep.where("_kind = 2").select("_prefix", "_part", "_first", "_data")
+        if not packs.isEmpty():
+            marked = marked.unionByName(_of_parts(deep.where("_kind = 1").select("_prefix", "_part", "_id", "_sha", "_first", "_data"), packs, bits))
     return marked.groupBy("_id", "_sha").agg(F.collect_set(F.struct("_first", "_mask")).alias("_windows"))
 
 
@@ -322,34 +497,29 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)), sha], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def dedup_digest(df: DataFrame) -> DataFrame:
+def dedup_digest(df: DataFrame, bits: int = HASH_BITS) -> DataFrame:
     docs = id_and_text(df, "doc_id", "text")
-    found = marks(df).withColumnRenamed("_id", "_key").withColumnRenamed("_sha", "_hash")
+    found = marks(df, bits=bits).withColumnRenamed("_id", "_key").withColumnRenamed("_sha", "_hash")
     joined = docs.join(found, (F.col("_id") == F.col("_key")) & (F.xxhash64("_text") == F.col("_hash")), "left").select("_id", "_text", "_windows")
     return map_batches(joined, _digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def _cut_column(at: int, names: list[str]):
-    """Replaces column ``at``, the text, by its kept words where the last column marks any; drops the last column."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = list(batch.columns)
-            texts = cols[at].to_pylist()
-            for k, windows in enumerate(cols[-1].to_pylist()):
-                if windows:
-                    texts[k] = _kept(texts[k], windows)[2].decode("utf-8", "surrogatepass")
-            cols[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(cols[:-1], names)
-
-    return run
+def _kept_texts(texts: pa.Array, windows: pa.Array) -> pa.Array:
+    """The kept words of texts joined by a space; texts without marks as they are."""
+    out = texts.to_pylist()
+    for k, own in enumerate(windows.to_pylist()):
+        if own:
+            out[k] = _kept(out[k], own)[2].decode("utf-8", "surrogatepass")
+    return pa.array(out, pa.string())
 
 
 def cut(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The table with repeats cut from its texts: kept words joined by a space; texts without repeats unchanged. Empty texts go,
     among them those that were nothing but repeats; other rows and columns stay as they are."""
-    key, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
-    found = marks(df, id_col, text_col).select(F.col("_id").alias("_mark_id"), F.col("_sha").alias("_mark_sha"), F.col("_windows").alias("_mark_windows"))
-    joined = df.join(found, (key == F.col("_mark_id")) & (F.xxhash64(text) == F.col("_mark_sha")), "left").drop("_mark_id", "_mark_sha")
-    out = map_batches(joined, _cut_column(df.columns.index(text_col), df.columns), df.schema)
-    return out.where(text.isNull() | (F.length(text) > 0))
+    own, found = Renamed(df), marks(df, id_col, text_col)
+    key, text = own.at(id_col).cast("long"), own.at(text_col).cast("string")
+    joined = own.frame.join(found, (key == F.col("_id")) & (F.xxhash64(text) == F.col("_sha")), "left")
+    # not deterministic to the planner, so that it isn't run again for the filter
+    kept = F.arrow_udf(_kept_texts, StringType()).asNondeterministic()
+    out = own.back(joined, {text_col: kept(text, F.col("_windows"))})
+    return out.where(F.col(f"`{text_col}`").isNull() | (F.length(F.col(f"`{text_col}`")) > 0))

@@ -41,19 +41,22 @@ def rows_with_repeats():
     return rows
 
 
-@pytest.mark.parametrize("group", [1000, 3])
-def test_against_brute_force(spark, monkeypatch, group):
+@pytest.mark.parametrize(("group", "bits"), [(1000, 64), (40, 64), (3, 64), (3, 6), (1000, 0), (40, 0)])
+def test_against_brute_force(spark, monkeypatch, group, bits):
+    """Groups of a few rows make long prefixes and parts; hashes of few bits, or of none, must not change results."""
     monkeypatch.setattr(substring, "GROUP", group)
     rows = rows_with_repeats()
+    if bits < 64:  # every window then meets all others
+        rows = rows[:40] + rows[120:-1]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, _windows string").repartition(6)
-    got = sorted(map(tuple, substring.dedup_digest(df).collect()), key=str)
+    got = sorted(map(tuple, substring.dedup_digest(df, bits).collect()), key=str)
     want = sorted(((k, n, g, hashlib.sha256(t.encode()).hexdigest()) for k, n, g, t in brute(rows)), key=str)
     assert got == want and sum(r[2] for r in got) > 1000
 
 
 def test_cut_keeps_columns_and_clean_texts(spark):
     rows = rows_with_repeats()
-    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, _sha string")
+    df = spark.createDataFrame([(*r, "x", "y", {"k": k}) for k, r in enumerate(rows)], "doc_id long, text string, _mark_id string, _windows string, _id map<string,int>")
     out = substring.cut(df)
     assert out.columns == df.columns
     got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
@@ -76,3 +79,34 @@ def sorted_like(rows):
         at = next(i for i, r in enumerate(found[k]) if r[1] == n)
         out.append(found[k].pop(at))
     return out
+
+
+def lcp(a, b):
+    n = 0
+    while n < substring.WINDOW and a[n] == b[n]:
+        n += 1
+    return n
+
+
+def test_leaves_are_sorted_suffixes():
+    rng = random.Random(3)
+    texts = [[rng.choice(["a", "b", "cc"]) for _ in range(rng.randint(50, 70))] for _ in range(8)] + [["a"] * 90, ["a"] * 60]
+    tree = substring.Subtree([" ".join(t).encode() for t in [*texts, texts[0]]])
+    leaves = [[w.decode() for w in tree.window(h).split()] for h in tree.heads]
+    order = [leaves[k] for k in tree.order]
+    assert order == sorted(leaves)
+    assert tree.common.tolist() == [0] + [lcp(a, b) for a, b in zip(order, order[1:])]
+    every = [[*texts, texts[0]][r][p : p + 50] for r, p in zip(tree.row, tree.place)]
+    assert len(every) == sum(len(t) - 49 for t in [*texts, texts[0]])
+    assert len({(n, *w) for n, w in zip(tree.node, every)}) == len({tuple(w) for w in every}) == len(set(tree.node))
+
+
+def test_longer_prefixes_are_in_their_windows():
+    rng = random.Random(5)
+    words = [rng.choice("abc") for _ in range(300)] + ["x", "y", "z"] * 60
+    found = substring.Anchors(" ".join(words).encode())
+    longer = found.longer()
+    of = defaultdict(set)
+    for k in range(len(words) - 49):
+        of[tuple(words[k : k + 50])].add(longer[k])
+    assert len(longer) == len(words) - 49 and all(len(v) == 1 for v in of.values())
