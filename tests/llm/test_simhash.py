@@ -51,9 +51,15 @@ def test_masks_cover_every_pair_of_three_bits():
         assert ((masks & diff) == 0).any()
 
 
-@pytest.mark.parametrize("large", [simhash.LARGE_GROUP, 10])
-def test_forest_spans_what_pairs_link(monkeypatch, large):
-    monkeypatch.setattr(simhash, "LARGE_GROUP", large)
+def test_longer_masks_cover_what_is_free():
+    masks = simhash.choices()
+    for _ in range(simhash.ROUNDS):
+        masks = [x for m in masks for x in simhash.longer(m)]
+        assert all(any(d & x == 0 for x in simhash.longer(m)) for m in masks[:40] for d in (0, 1 << 63, 7, 1 << 40 | 1 << 20 | 1) if d & m == 0)
+    assert min(m.bit_count() for m in masks) >= 64 - 12
+
+
+def test_forest_spans_what_pairs_link():
     rng = random.Random(4)
     seeds = [rng.getrandbits(64) for _ in range(8)]
     fps = sorted({s ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 3))) & (2**64 - 1) for s in seeds for _ in range(25)})
@@ -86,7 +92,9 @@ def test_components(spark, monkeypatch, limit):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_operator_against_brute_force(spark):
+@pytest.mark.parametrize("group", [simhash.GROUP, 3])
+def test_operator_against_brute_force(spark, monkeypatch, group):
+    monkeypatch.setattr(simhash, "GROUP", group)
     rng = random.Random(6)
     texts = [None, "", "only", "only"]
     for _ in range(25):
@@ -97,7 +105,7 @@ def test_operator_against_brute_force(spark):
                 own[rng.randrange(len(own))] = "edit"
             texts.append(" ".join(own))
     rows = [(k, t, 0) for k, t in enumerate(texts)] + [(None, texts[5], 0), (5, texts[5], 0), (None, "alone without an id", 0)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
+    df = spark.createDataFrame([(*r, {"a": 1}) for r in rows], "doc_id long, text string, component_id int, _id map<string,int>")
     want = plain_components({k: plain_fingerprint(t) for k, t, _ in rows if k is not None})
     got = simhash.near_duplicate_digest(df).collect()
     assert len(got) == len(rows) and len(set(want.values())) < len(want) - 15
