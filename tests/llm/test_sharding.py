@@ -47,3 +47,31 @@ def test_written_shards_hold_whole_records(spark, tmp_path):
     native = sharding.shard_digest(df)._jdf.queryExecution().toString()
     assert not any(x in native for x in ("Python", "Pandas", "Arrow"))
     assert sharding.shard_digest(df).where(F.col("slot") < 0).count() == 0
+
+
+def test_columns_without_an_order_travel_along(spark):
+    df = frame(spark).selectExpr("doc_id", "text", "map(shard, doc_id) AS r", "array(map(1, text)) AS k", "parse_json('{}') AS v")
+    out = sharding.shuffle_into_shards(df, 3)
+    rows = out.selectExpr("record.doc_id", "map_keys(record.r)[0] AS shard", "shard AS s", "slot").collect()
+    assert sorted((str(r[0]), r[1]) for r in rows) == sorted((str(r.doc_id), r.shard) for r in frame(spark).collect())
+    assert len({(r.s, r.slot) for r in rows}) == len(rows)
+
+
+def test_buckets_of_several_spans_and_their_files(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(sharding, "SPAN", 5)
+    df = frame(spark)
+    out = sharding.shuffle_into_shards(df, 40, bucket_bytes=2000).selectExpr("shard * 1000 + slot AS p").collect()
+    assert len({r.p for r in out}) == df.count()
+    sharding.write_shards(df.withColumnRenamed("shard", "extra"), str(tmp_path / "o"), file_rows=50, shards=2)
+    runs = spark.read.parquet(str(tmp_path / "o")).selectExpr("shard", "run", "slot div 50 = run AS ok")
+    assert runs.where("NOT ok").count() == 0 and runs.select("shard", "run").distinct().count() == 12
+
+
+def test_law_against_its_sql(spark):
+    import duckdb
+
+    for n in (500, 17):
+        df = frame(spark, n) if n > 40 else frame(spark).where("doc_id < 17")
+        documents = df.select("doc_id").toPandas()  # noqa: F841
+        want = sorted(duckdb.sql(sharding.LAW_SQL).fetchall())
+        assert sorted(map(tuple, sharding.shard_law(df).select("shard", "n_rows", "first_slot", "slots").collect())) == want
