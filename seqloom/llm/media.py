@@ -1,11 +1,12 @@
 """Media columns: TIFF.
 
 ``decode`` walks the chain of image directories of a TIFF in either byte order, decodes PackBits, LZW or deflate strips and tiles,
-undoes horizontal predictors and gives one image per page. ``encode`` writes such files; ``pages`` maps a column of files to
-one row per page, and ``stored_texts`` keeps texts as losslessly stored 8-bit samples.
+undoes horizontal and floating-point predictors and gives one image per page: samples of 1, 8, 16 or 32 bits (of 1 bit as bytes of 0 and 1), chunky or in planes.
+Memory follows the data that is there, not the sizes that a file claims. ``encode`` writes such files; ``pages`` maps a column of files to
+one row per page, and ``stored_texts`` keeps texts as losslessly stored 8-bit samples, in one of several layouts by a checksum of the text.
 
-Defined cases. A null file has no pages; an empty or damaged one gives a row with page -1 and the reason in ``error``, so
-nothing is lost in silence. A null text counts as empty; an empty text is 64 zero bytes. Texts of any length are stored whole, over as
+Defined cases. A null file has no pages; an empty or damaged one, or one of another kind (JPEG or fax strips, 64-bit offsets, samples of other sizes), gives its
+whole pages and a row with page -1 and the reason in ``error``, so nothing is lost in silence. A null text counts as empty; an empty text is 64 zero bytes. Texts of any length are stored whole, over as
 many pages as they need. Equal texts give equal files; repeated rows stay repeated. Empty table: empty result. Extra
 columns are not read, so their names cannot clash.
 """
@@ -32,8 +33,10 @@ NONE, LZW, ADOBE_DEFLATE, DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 FIELD_TYPES = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4)}
 LZW_CLEAR, LZW_END = 256, 257
 
-#: Samples in a row of a stored text, rows in a strip and in a page.
-ROW, STRIP_ROWS, PAGE_ROWS = 64, 128, 4096
+#: Samples in a row of a stored text, rows in a strip and in a page; height and width of tiles, multiples of 16.
+ROW, STRIP_ROWS, PAGE_ROWS, TILE = 64, 128, 4096, (128, 32)
+#: Codecs of stored texts, as often as they are used: LZW and PackBits run byte by byte.
+CODECS = (LZW, PACKBITS, NONE, *[ADOBE_DEFLATE] * 5, *[DEFLATE] * 8)
 
 
 class BadTiff(ValueError):
@@ -72,9 +75,10 @@ def packbits_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, high bit first; the width grows one code early, as the format asks."""
+def lzw_decode(data: bytes, most: int | None = None) -> bytes:
+    """Codes of 9 to 12 bits, high bit first; the width grows one code early, as the format asks. Stops after ``most`` bytes."""
     out: list[bytes] = []
+    left = most
     table = [bytes([i]) for i in range(256)] + [b"", b""]
     bits = held = 0
     width, last = 9, b""
@@ -94,7 +98,9 @@ def lzw_decode(data: bytes) -> bytes:
             raise BadTiff("LZW code ahead of its table")
         now = table[code] if code < len(table) else last + last[:1]
         out.append(now)
-        if last:
+        if left is not None and (left := left - len(now)) <= 0:
+            break
+        if last and len(table) < 4096:
             table.append(last + now[:1])
         width = min(12, max(9, (len(table) + 1).bit_length()))
         last = now
@@ -144,9 +150,9 @@ def _unpack(data: bytes, compression: int, size: int) -> bytes:
     if compression == NONE:
         out = data
     elif compression in (ADOBE_DEFLATE, DEFLATE):
-        out = zlib.decompress(data)
+        out = zlib.decompressobj().decompress(data, size)
     elif compression == LZW:
-        out = lzw_decode(data)
+        out = lzw_decode(data, size)
     elif compression == PACKBITS:
         out = packbits_decode(data)
     else:
@@ -162,13 +168,23 @@ def _pack(data: bytes, compression: int) -> bytes:
     return {NONE: bytes, LZW: lzw_encode, PACKBITS: packbits_encode}[compression](data)
 
 
-def _undo_predictor(block: np.ndarray, predictor: int) -> np.ndarray:
-    """block: rows, columns, samples. Horizontal differencing adds up along the columns, within each sample."""
-    if predictor == 1:
-        return block
-    if predictor != 2:
+def _samples(raw: bytes, shape: tuple[int, int, int], kind: np.dtype, bits: int, predictor: int) -> np.ndarray:
+    """Decoded bytes of a strip or tile as rows, columns, samples, without its predictor."""
+    rows, cols, samples = shape
+    if bits == 1:
+        if predictor != 1:
+            raise BadTiff("predictor on bits")
+        return np.unpackbits(np.frombuffer(raw, np.uint8).reshape(rows, -1), axis=1)[:, : cols * samples].reshape(shape)
+    if predictor == 3 and kind.itemsize > 1:
+        # bytes were split into planes, highest first, and differenced along the row
+        planes = np.add.accumulate(np.frombuffer(raw, np.uint8).reshape(rows, -1, samples), axis=1, dtype=np.uint8).reshape(rows, kind.itemsize, cols * samples)
+        return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(kind.newbyteorder(">")).reshape(shape).astype(kind.newbyteorder("="))
+    block = np.frombuffer(raw, kind).reshape(shape).astype(kind.newbyteorder("="))
+    if predictor == 2:  # horizontal differencing adds up along the columns, within each sample
+        return np.add.accumulate(block, axis=1, dtype=block.dtype)
+    if predictor != 1:
         raise BadTiff(f"predictor {predictor}")
-    return np.add.accumulate(block, axis=1, dtype=block.dtype)
+    return block
 
 
 def _directories(data: bytes) -> Iterator[tuple[str, dict[int, list[int]]]]:
@@ -198,34 +214,44 @@ def _directories(data: bytes) -> Iterator[tuple[str, dict[int, list[int]]]]:
         at = struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
 
 
+def _image(data: bytes, order: str, tags: dict[int, list[int]]) -> np.ndarray:
+    one = lambda tag, other=0: tags[tag][0] if tags.get(tag) else other
+    width, height, samples, bits, planar = one(WIDTH_TAG), one(HEIGHT_TAG), one(SAMPLES_TAG, 1), one(BITS_TAG, 1), one(PLANAR_TAG, 1)
+    if not width or not height or not samples or bits not in (1, 8, 16, 32) or len(set(tags.get(BITS_TAG, [1]))) > 1 or planar not in (1, 2):
+        raise BadTiff("not samples of 1, 8, 16 or 32 bits, chunky or in planes")
+    kind = np.dtype(f"{order}u{max(1, bits // 8)}")
+    planes, each = (samples, 1) if planar == 2 else (1, samples)
+    tiled = TILE_OFFSETS_TAG in tags
+    tall, wide = (one(TILE_HEIGHT_TAG), one(TILE_WIDTH_TAG)) if tiled else (min(one(ROWS_PER_STRIP_TAG, height), height), width)
+    if not tall or not wide:
+        raise BadTiff("strips or tiles without a size")
+    offsets, counts = (tags.get(x, []) for x in ((TILE_OFFSETS_TAG, TILE_BYTES_TAG) if tiled else (STRIP_OFFSETS_TAG, STRIP_BYTES_TAG)))
+    down, across = -(-height // tall), -(-width // wide)
+    if not planes * down * across == len(offsets) == len(counts):
+        raise BadTiff("strips or tiles are missing")
+    if any(offset + count > len(data) for offset, count in zip(offsets, counts, strict=True)):
+        raise BadTiff("strip or tile out of place")
+    blocks = []  # all are decoded before the image is laid out, so a size that is only claimed is found out
+    for k, (offset, count) in enumerate(zip(offsets, counts, strict=True)):
+        rows = tall if tiled else min(tall, height - k % down * tall)
+        line = -(-wide * each * bits // 8)
+        raw = _unpack(data[offset : offset + count], one(COMPRESSION_TAG, NONE), rows * line)
+        blocks.append(_samples(raw, (rows, wide, each), kind, bits, one(PREDICTOR_TAG, 1)))
+    image = np.zeros((height, width, samples), kind.newbyteorder("="))
+    for k, block in enumerate(blocks):
+        plane, place = divmod(k, down * across)
+        y, x = place // across * tall, place % across * wide
+        image[y : y + tall, x : x + wide, plane * each : (plane + 1) * each] = block[: height - y, : width - x]
+    return image
+
+
 def decode(data: bytes) -> Iterator[np.ndarray]:
-    """Each page as an array of rows, columns, samples (8 or 16 bits)."""
-    for order, tags in _directories(data):
-        one = lambda tag, other=None: tags[tag][0] if tags.get(tag) else other  # noqa: B023, E731
-        width, height, samples = one(WIDTH_TAG), one(HEIGHT_TAG), one(SAMPLES_TAG, 1)
-        bits = one(BITS_TAG, 1)
-        if not width or not height or bits not in (8, 16) or one(PLANAR_TAG, 1) != 1:
-            raise BadTiff("not chunky samples of 8 or 16 bits")
-        kind = np.dtype(f"{order}u{bits // 8}")
-        compression, predictor = one(COMPRESSION_TAG, NONE), one(PREDICTOR_TAG, 1)
-        image = np.zeros((height, width, samples), kind.newbyteorder("="))
-        if TILE_OFFSETS_TAG in tags:
-            tall, wide = one(TILE_HEIGHT_TAG), one(TILE_WIDTH_TAG)
-            places = [(y, x, tall, wide) for y in range(0, height, tall) for x in range(0, width, wide)]
-            offsets, counts = tags[TILE_OFFSETS_TAG], tags[TILE_BYTES_TAG]
-        else:
-            tall = min(one(ROWS_PER_STRIP_TAG, height), height)
-            places = [(y, 0, min(tall, height - y), width) for y in range(0, height, tall)]
-            offsets, counts = tags.get(STRIP_OFFSETS_TAG, []), tags.get(STRIP_BYTES_TAG, [])
-        if not len(places) == len(offsets) == len(counts):
-            raise BadTiff("strips or tiles are missing")
-        for (y, x, rows, cols), offset, count in zip(places, offsets, counts, strict=True):
-            if offset + count > len(data):
-                raise BadTiff("strip or tile out of place")
-            raw = _unpack(data[offset : offset + count], compression, rows * cols * samples * kind.itemsize)
-            block = _undo_predictor(np.frombuffer(raw, kind).reshape(rows, cols, samples).astype(image.dtype), predictor)
-            image[y : y + rows, x : x + cols] = block[: height - y, : width - x]
-        yield image
+    """Each page as an array of rows, columns, samples. Damage of any kind raises BadTiff."""
+    try:
+        for order, tags in _directories(data):
+            yield _image(data, order, tags)
+    except (zlib.error, struct.error, ArithmeticError, LookupError, TypeError, ValueError, MemoryError) as e:
+        raise e if isinstance(e, BadTiff) else BadTiff(f"{type(e).__name__}: {e}") from e
 
 
 def encode(images: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, order: str = "<", strip_rows: int = STRIP_ROWS, tile: tuple[int, int] | None = None) -> bytes:
@@ -269,6 +295,15 @@ def encode(images: list[np.ndarray], compression: int = DEFLATE, predictor: int
 PAGE_SCHEMA = "_id long, page int, width int, height int, samples int, data binary, error string"
 
 
+def _file_pages(data: bytes) -> Iterator[tuple]:
+    """The rows of a file, without its id."""
+    try:
+        for page, image in enumerate(decode(data)):
+            yield page, image.shape[1], image.shape[0], image.shape[2], image.tobytes(), None
+    except BadTiff as e:
+        yield -1, None, None, None, None, str(e)
+
+
 def _page_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in PAGE_SCHEMA.split(", ")]
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
@@ -277,11 +312,7 @@ def _page_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if data is None:
                 continue
-            try:
-                for page, image in enumerate(decode(data)):
-                    rows.append((key, page, image.shape[1], image.shape[0], image.shape[2], image.tobytes(), None))
-            except (BadTiff, zlib.error) as e:
-                rows.append((key, -1, None, None, None, None, str(e)))
+            rows += [(key, *page) for page in _file_pages(data)]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
 
@@ -298,8 +329,11 @@ def payload(text: str | None) -> tuple[bytes, int]:
 
 
 def text_tiff(data: bytes) -> bytes:
+    """The payload as pages of rows of 64 samples. Codec, predictor, byte order and strips or tiles follow from its checksum."""
     rows = np.frombuffer(data, np.uint8).reshape(-1, ROW, 1)
-    return encode([rows[k : k + PAGE_ROWS] for k in range(0, len(rows), PAGE_ROWS)])
+    h = zlib.crc32(data)
+    layout = {"compression": CODECS[h % len(CODECS)], "predictor": 1 + (h >> 8 & 1), "order": "<>"[h >> 9 & 1], "tile": TILE if h >> 10 & 1 else None}
+    return encode([rows[k : k + PAGE_ROWS] for k in range(0, len(rows), PAGE_ROWS)], **layout)
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,15 +347,14 @@ def stored_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return map_batches(id_and_text(df, id_col, text_col), _store, "_id long, n_bytes long, tiff binary")
 
 
-def features(images: list[np.ndarray]) -> str:
-    """Width, height over all pages, pages, mean and deviation of the samples, share of zeros, mean step along rows."""
-    full = np.concatenate(images).reshape(-1, images[0].shape[1])
-    flat = full.ravel()
-    n, counts = flat.size, np.bincount(flat, minlength=256)
+def features(width: int, pages: list[bytes]) -> str:
+    """Width, height over all pages, pages, mean and variance of the samples, share of zeros, mean step along rows."""
+    full = np.frombuffer(b"".join(pages), np.uint8).reshape(-1, width)
+    n, counts = full.size, np.bincount(full.ravel(), minlength=256)
     values = np.arange(256, dtype=np.int64)
     total, squares = int(counts @ values), int(counts @ (values * values))
     steps = int(np.abs(np.diff(full.astype(np.int16), axis=1)).sum(dtype=np.int64))
-    return f"{full.shape[1]}x{full.shape[0]} pages={len(images)} mean={total / n:.6f} var={squares / n - (total / n) ** 2:.6f} zero={counts[0] / n:.6f} step={steps / n:.6f}"
+    return f"{width}x{full.shape[0]} pages={len(pages)} mean={total / n:.6f} var={(n * squares - total * total) / n**2:.6f} zero={counts[0] / n:.6f} step={steps / n:.6f}"
 
 
 DIGEST_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -333,9 +366,11 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for key, n, data in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            images = list(decode(data))
-            back = b"".join(x.tobytes() for x in images)
-            rows.append((key, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]), len(data), hashlib.sha256(data).hexdigest(), features(images)))
+            read = list(_file_pages(data))
+            if read[-1][0] < 0:
+                raise BadTiff(read[-1][5])
+            back = b"".join(x[4] for x in read)
+            rows.append((key, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]), len(data), hashlib.sha256(data).hexdigest(), features(read[0][1], [x[4] for x in read])))
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
 
