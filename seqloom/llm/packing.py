@@ -2,10 +2,10 @@
 
 A document is its token ids and one separator id. Only documents longer than a sequence are cut: into whole
 sequences, of which the first piece may be shorter. Whole pieces fill a sequence each. The others are dealt by a seeded hash to
-groups of about ``GROUP`` documents; a group is packed by best fit on falling lengths and then improved: moves of a document,
+groups of about ``GROUP`` sequences, whatever the documents' lengths; a group is packed by best fit on falling lengths and then improved: moves of a document,
 exchanges of one for one and of two for one between any two underfull bins, each raising the sum of squared fills, until bins run empty and
 the least possible number of bins is reached or no move or exchange is left that raises it.
-Groups of this size leave at most a bin each that a packing of the whole corpus might save, a fraction of a thousandth.
+A group that reaches its least number leaves at most one bin that a packing of the whole corpus might save, a thousandth of its own.
 
 Defined cases. Null text counts as empty: one separator. Rows with one id, or null ids, are documents of their own and stay. Ties
 are broken by length, then id, then checksum. Empty table: empty result. Texts of any length are encoded whole. Extra columns are
@@ -25,13 +25,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from seqloom.llm.bpe import byte_symbols
 from seqloom.llm.common import id_and_text, map_batches
 
-CAPACITY, SEPARATOR, GROUP = 2048, 0, 4096
-#: Words whose ids a worker remembers; beyond, it starts anew.
-REMEMBERED = 600_000
+CAPACITY, SEPARATOR = 2048, 0
+#: Sequences of a group, reckoned at TOKEN bytes a token, and documents at most.
+GROUP, TOKEN, GROUP_ROWS = 1000, 4, 100_000
+#: Bytes of words and ids that a worker remembers; beyond, it starts anew. Parts of more characters than LONG are encoded and forgotten.
+REMEMBERED, LONG = 64 << 20, 64
+#: Bytes that an entry takes besides its characters and ids.
+ENTRY = 250
 
 _RUN = re.compile(r"\s\s|^\s|\s$")
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
@@ -63,7 +68,7 @@ class Encoder:
     """The ids of a byte-level tokenizer of which no token spans the start of a space before a word.
 
     A text is cut at single spaces between other characters, and the ids of each part are remembered. ``special`` are contents of
-    added tokens: texts that hold one are encoded as they are.
+    added tokens: texts that hold one are encoded as they are. Long parts go to the library, as ranks fail on long runs of white space.
     """
 
     def __init__(self, spec: str):
@@ -75,23 +80,41 @@ class Encoder:
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ranked = _ranked(json.loads(spec))
-        self.known: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+        self.known: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
+        self.held = 0
 
-    def _learn(self, parts: set[str], known: dict[str, bytes], lead: str) -> None:
-        if len(known) + len(parts) > REMEMBERED:
-            known.clear()
-        fresh = list(parts)
+    def _encoded(self, parts: set[str], lead: str) -> dict[str, bytes]:
+        out, fresh = {}, list(parts)
         if self.ranked:
             encode = self.ranked.encode_ordinary
             for part in fresh:
-                if _LATIN.fullmatch(part):
-                    known[part] = np.array(encode(lead + part), "<u4").tobytes()
-            fresh = [x for x in fresh if x not in known]
+                if len(part) <= LONG and _LATIN.fullmatch(part):
+                    out[part] = np.array(encode(lead + part), "<u4").tobytes()
+            fresh = [x for x in fresh if x not in out]
         for k in range(0, len(fresh), 4096):
             some = fresh[k : k + 4096]
             for part, e in zip(some, self.tokenizer.encode_batch_fast([lead + x for x in some], add_special_tokens=False), strict=True):
-                known[part] = np.array(e.ids, "<u4").tobytes()
+                out[part] = np.array(e.ids, "<u4").tobytes()
+        return out
+
+    def _ids(self, parts: list[str], lead: str) -> bytes:
+        """Ids of parts, each with ``lead`` before it."""
+        known = self.known[lead]
+        try:
+            return b"".join(map(known.__getitem__, parts))
+        except KeyError:
+            made = self._encoded(set(parts).difference(known), lead)
+        out = b"".join([made[x] if x in made else known[x] for x in parts])
+        short = {x: ids for x, ids in made.items() if len(x) <= LONG}
+        size = sum(ENTRY + 2 * len(x) + len(ids) for x, ids in short.items())
+        if self.held + size > REMEMBERED:
+            self.held = 0
+            for own in self.known.values():
+                own.clear()
+        if size <= REMEMBERED:
+            known.update(short)
+            self.held += size
+        return out
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
@@ -100,17 +123,7 @@ class Encoder:
         if any(x in text for x in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         parts = _BETWEEN.split(text) if _RUN.search(text) else text.split(" ")
-        head, rest = parts[0], parts[1:]
-        if head not in self.first:
-            self._learn({head}, self.first, "")
-        try:
-            return self.first[head] + b"".join(map(self.known.__getitem__, rest))
-        except KeyError:
-            self._learn(set(rest).difference(self.known), self.known, " ")
-            missing = set(rest).difference(self.known)
-            if missing:  # they were forgotten to make room
-                self._learn(missing, self.known, " ")
-            return self.first[head] + b"".join(map(self.known.__getitem__, rest))
+        return self._ids(parts[:1], "") + self._ids(parts[1:], " ")
 
 
 def encoder(spec: str) -> Encoder:
@@ -306,7 +319,23 @@ def _packer(capacity: int):
 def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, seed: int = 42, keep_ids: bool = False) -> DataFrame:
     """Pieces with sequence_id and offset."""
     cut = pieces(df, tokenizer, id_col, text_col, capacity, keep_ids=keep_ids)
-    groups = max(1, -(-df.count() // GROUP))
+    size = F.coalesce(F.octet_length(F.col(f"`{text_col}`").cast("string")), F.lit(0)).cast("long")
+    total = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    groups = max(1, -(-(total["bytes"] // TOKEN + total["rows"]) // (GROUP * capacity)), -(-total["rows"] // GROUP_ROWS))
     # all pieces of a document but the first are whole sequences, so any group will do for them
     grouped = cut.withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "ids_crc32"), F.lit(groups)))
     return grouped.groupBy("_group").applyInArrow(_packer(capacity), PIECES + ", ids binary" * keep_ids + ", sequence_id long, offset long")
+
+
+#: DuckDB SQL of what holds for every packing of ``documents``.
+LAW_SQL = "SELECT count(*)::BIGINT AS documents, 0::BIGINT AS over_capacity, 0::BIGINT AS gaps, 0::BIGINT AS needless_cuts FROM documents"
+
+
+def packing_law(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Documents, and pieces that run over a sequence's end, leave a gap or overlap in it, or were cut without need. Ids must be a key."""
+    end = F.col("offset") + F.col("length")
+    own = packed.withColumn("_before", F.coalesce(F.lag(end).over(Window.partitionBy("sequence_id").orderBy("offset")), F.lit(0)))
+    own = own.withColumn("_next", F.coalesce(F.lead("start").over(Window.partitionBy("doc_id").orderBy("piece")), F.lit(-1)))
+    count = lambda x, name: F.coalesce(F.sum(x.cast("long")), F.lit(0)).alias(name)
+    short = (F.col("length") < capacity) & (F.col("piece") > 0) | (F.col("_next") >= 0) & (F.col("_next") != F.col("start") + F.col("length"))
+    return own.agg(count(F.col("piece") == 0, "documents"), count(end > capacity, "over_capacity"), count(F.col("_before") != F.col("offset"), "gaps"), count(short, "needless_cuts"))

@@ -49,6 +49,16 @@ def op10_prefix_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def law_of_op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold for the sequences of op4, which SQL can say: capacity, no gaps, no needless cuts."""
+    return packing.packing_law(op4_local_search_packing(spark, sf_dir))
+
+
+def law_of_op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold for the shards of op7, which SQL can say: their sizes, and slots without gaps."""
+    return sharding.shard_law(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -62,12 +72,16 @@ QUERIES = {
         op8_tiff_pages,
         op9_simhash_near_dedup,
         op10_prefix_suffix_trees,
+        law_of_op4,
+        law_of_op7,
     )
 }
 
-#: Of the others none can be put in DuckDB's SQL (forests, networks, tokenizers, image files, seeded permutations, XXH64); tests/llm hold
+#: Of the others none can be put in DuckDB's SQL as a whole (forests, networks, tokenizers, image files, seeded permutations, XXH64); tests/llm hold
 #: each against a brute-force version, the library it equals or held-out rows.
 ORACLE_SQL: dict[str, str] = {
+    "law_of_op4": packing.LAW_SQL,
+    "law_of_op7": sharding.LAW_SQL,
     "op10_prefix_suffix_trees": r"""
 WITH words AS (
     SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents

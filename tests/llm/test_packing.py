@@ -118,3 +118,33 @@ def test_search_empties_more_bins_than_a_few_donors_hold():
     start = packing.best_fit(sizes)
     found = packing.local_search(start, sizes)
     assert valid(found, sizes, 2048) and len(start) - len(found) > 48
+
+
+def unspaced(rng, n):
+    return "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+
+
+def test_memory_is_bounded_in_bytes(monkeypatch):
+    tok, enc, rng = Tokenizer.from_file(PATH), packing.Encoder(open(PATH, encoding="utf-8").read()), random.Random(7)
+    for text in [unspaced(rng, 9000) for _ in range(30)] + [" " * 300_000, "a" * 70_000, "\t\n " * 20_000, "x " + "y" * 65 + " y"]:
+        assert enc(text) == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert enc.held < 1000
+    monkeypatch.setattr(packing, "REMEMBERED", 20_000)
+    for _ in range(40):
+        text = " ".join(str(rng.random()) for _ in range(30)) + " " + unspaced(rng, 80)
+        assert enc(text) == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert enc.held <= 20_000 and sum(len(x) for x in enc.known.values()) * packing.ENTRY <= enc.held
+
+
+def test_groups_follow_tokens_and_the_law_holds(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choice(["the", "word", "ok"]) for _ in range(rng.choice([0, 5, 300, 5000])))) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for group, limit, many in ((1000, 100_000, False), (20, 100_000, True), (1000, 30, True)):
+        monkeypatch.setattr(packing, "GROUP", group)
+        monkeypatch.setattr(packing, "GROUP_ROWS", limit)
+        packed = packing.pack(df, PATH).cache()
+        assert (packed.selectExpr("count(DISTINCT sequence_id div 4294967296) AS n").first().n > 1) == many
+        assert tuple(packing.packing_law(packed).first()) == (300, 0, 0, 0)
+        broken = packed.selectExpr("doc_id", "piece", "start", "length", "sequence_id", "offset + (doc_id = 5)::long AS offset")
+        assert packing.packing_law(broken).first().gaps >= 1
