@@ -1,6 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest. DataFrame, SQL and Spark ML functions only.
 
-A candidate is a run of 16 or more characters that keys and tokens are made of, a signed web token or a private key block.
+A candidate is a run of 16 or more characters that keys and tokens are made of, a signed web token, a private key block, or, for passwords with
+signs in them, 8 to 64 characters in quotes after ``=`` or ``:`` or right after a name and ``=``. Shorter secrets and passwords in plain sentences are not seen.
 Its features are its length, character classes and transitions, coverage by dictionary words and common letter pairs, the path it
 was found under, and the words beside it, of which names of variables may be candidates too. The forest is trained on labelled findings: a bounded table of candidate, before, after,
 path and label, by default ``labelled_findings()``, about ``LABELLED`` rows made by a seeded rule.
@@ -21,13 +22,17 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.llm.common import Renamed
+
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]++-----END [A-Z ]{0,20}PRIVATE KEY-----"
     r"|(?<![\p{L}\p{N}_+/-])(?:eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+|[A-Za-z0-9_+/-]{16,}+={0,2}+)(?![\p{L}\p{N}])"
+    r"|(?<=[=:] ?[\"'])[^\s\"']{8,64}+(?=[\"'])"
+    r"|(?<=[A-Za-z]=)[^\s\"'<>&;,=]{8,64}+(?=\s|$)"
 )
 BEFORE, AFTER = 40, 32
 #: Characters of the shortest candidate.
-LEAST = 16
+LEAST = 8
 THRESHOLD, TREES, DEPTH, LABELLED = 0.5, 24, 8, 6000
 MASK = "[SECRET]"
 
@@ -40,7 +45,8 @@ WORDS = (
     "los las una por con para como cion dad mente ado ando iendo est ent en er es on an in at or re st th he nd ti ou ed ha le de la"
 ).split()
 PAIRS = "th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le sa si ar ve ra ld ur io ne me li ic la ro ri co ma ch sc ei ie qu ui ue un ge be ll".split()
-KEYWORDS = "token|secret|passw|passphrase|api.?key|apikey|access.?key|auth|credential|bearer|private.?key|client.?key|signing"
+PASSWORD = "(?:passw|passphrase|pwd|secret|token|key)"
+KEYWORDS = "token|secret|pwd|passw|passphrase|api.?key|apikey|access.?key|auth|credential|bearer|private.?key|client.?key|signing"
 DENIED = "example|sample|dummy|placeholder|your|changeme|redacted|fake|lorem|commit|sha|md5|checksum|digest|hash|etag|uuid|guid|revision|integrity|base64,|isbn|order|invoice|card"
 TEST_PATH = "test|spec|example|sample|fixture|mock|doc|readme"
 SECRET_PATH = r"\.env|config|settings|secret|credential|deploy|docker|\.ya?ml|\.ini|\.properties|\.pem"
@@ -57,7 +63,7 @@ def features(c: Column, before: Column, after: Column, path: Column) -> dict[str
     flag = lambda text, pattern: F.lower(text).rlike(pattern).cast("double")
     words = "|".join(sorted(set(WORDS), key=lambda w: (-len(w), w)))
     cols = {
-        "length": F.least(size, F.lit(400)),
+        "length": F.log2(size),
         "upper": _share(c, "[A-Z]", size),
         "lower": _share(c, "[a-z]", size),
         "digit": _share(c, "[0-9]", size),
@@ -72,7 +78,10 @@ def features(c: Column, before: Column, after: Column, path: Column) -> dict[str
         "pairs": _share(low, "(?=" + "|".join(PAIRS) + ")", size),
         "dictionary": F.lit(1.0) - F.length(F.regexp_replace(low, words, "")) / size,
         "known_form": c.rlike("^(?:AKIA|ASIA|gh[pousr]_|github_pat_|sk-|sk_live_|rk_live_|xox[abprs]-|AIza|glpat-|npm_|eyJ|-----BEGIN)"),
+        "filled_in": c.rlike(r"^[<{\[%$][^\s]*[>}\])]$|\$\{|\{\{|^(.)\1+$|[*x.]{4}"),
+        "address": c.rlike(r"^[a-z][a-z0-9+.-]*://|^[\w.+-]+@[\w-]+\.|^\.{0,2}/|\.[a-z]{2,5}$|^\d+([.:/-]\d+)+$"),
         "keyword": flag(before, KEYWORDS),
+        "password": flag(before, PASSWORD + r"\w{0,12}\s?[=:]\s?[\"']?$"),
         "assigned": before.rlike(r"""[=:]\s{0,3}["'`]?$"""),
         "quoted": (before.rlike("""["'`]$""") & after.rlike("""^["'`]""")),
         "bearer": flag(before, r"bearer\s{1,3}$"),
@@ -102,8 +111,8 @@ def running_totals(values: Column, block: int = 256) -> Column:
 
 
 def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """_id, _sha (a hash of the text), _start (code points before it), _cand, _before and _after (within the gaps to its neighbours), _left and
-    _right (of the whole text, neighbouring candidates included), _path."""
+    """_id, _sha (a hash of the text), _k (the candidate's number in it), _start (code points before it), _cand, _before and _after (of the whole text,
+    neighbouring candidates included), _path."""
     path = F.col(f"`{path_col}`").cast("string") if path_col else F.lit("")
     own = df.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"), F.coalesce(path, F.lit("")).alias("_path"))
     own = own.where(F.col("_text").rlike(CANDIDATE))
@@ -118,16 +127,15 @@ def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
         "_c",
         lambda c, i: F.struct(
             c.alias("c"),
-            F.right(F.get("_gaps", i), F.lit(BEFORE)).alias("before"),
-            F.left(F.get("_gaps", i + 1), F.lit(AFTER)).alias("after"),
-            F.right(F.concat(*left(i)), F.lit(BEFORE)).alias("left"),
-            F.left(F.concat(*right(i)), F.lit(AFTER)).alias("right"),
+            F.right(F.concat(*left(i)), F.lit(BEFORE)).alias("before"),
+            F.left(F.concat(*right(i)), F.lit(AFTER)).alias("after"),
         ),
     )
     cut = cut.select("_id", "_sha", "_path", near.alias("_near"), steps.alias("_steps"))
     cut = cut.select("_id", "_sha", "_path", "_near", running_totals(F.col("_steps")).alias("_starts"))
-    each = cut.select("_id", "_sha", "_path", "_starts", F.posexplode("_near").alias("_k", "_n"))
-    return each.select("_id", "_sha", F.get("_starts", F.col("_k")).alias("_start"), F.col("_n.c").alias("_cand"), F.col("_n.before").alias("_before"), F.col("_n.after").alias("_after"), F.col("_n.left").alias("_left"), F.col("_n.right").alias("_right"), "_path")
+    # the outer form, as for the other the planner adds a filter that finds all candidates anew for every one of them
+    each = cut.select("_id", "_sha", "_path", "_starts", F.posexplode_outer("_near").alias("_k", "_n")).where("_k IS NOT NULL")
+    return each.select("_id", "_sha", "_k", F.get("_starts", F.col("_k")).alias("_start"), F.col("_n.c").alias("_cand"), F.col("_n.before").alias("_before"), F.col("_n.after").alias("_after"), "_path")
 
 
 def _word(rng: random.Random) -> str:
@@ -156,7 +164,7 @@ def labelled_rows(n: int = LABELLED, seed: int = 42) -> list[dict]:
     keys = ("token", "access_token", "secret_key", "secret_access_key", "api_key", "password", "access_key", "auth_token", "client_secret", "credential")
     rows = []
     for _ in range(n):
-        path = rng.choice(["", "", f"src{rng.randint(0, 30)}", "app/config/settings.yml", "deploy/.env", "lib/main.py", "tests/fixtures/a.json", "docs/readme.md"])
+        path = rng.choice(["", "", "notes", "crawl", "app/config/settings.yml", "deploy/.env", "lib/main.py", "tests/fixtures/a.json", "docs/readme.md"])
         real = rng.random() < 0.5
         if real:
             cand = rng.choice(
@@ -176,8 +184,21 @@ def labelled_rows(n: int = LABELLED, seed: int = 42) -> list[dict]:
             if rng.random() < 0.3:
                 key = name(*keys)
             form = rng.random()
-            noise = rng.choice(["", "", "###", "***", "$$$"])
-            if form < 0.6:
+            noise = rng.choice(["", "", "", "~", "|", "***"])
+            if rng.random() < 0.2:  # passwords with signs in them
+                signs = rng.choice(["!@#$%^*?", "!#$%", "@!.$_-", "&*()+=~^"])
+                cand = draw(low + up + dig + signs, rng.randint(8, 24))
+                if rng.random() < 0.5:
+                    cand = "".join(rng.sample(WORDS, 2)).capitalize()[:14] + draw(dig, rng.randint(1, 4)) + draw(signs, rng.randint(1, 2))
+                cand = cand.ljust(8, "7")
+                key = rng.choice(["password", "passwd", "pwd", "PASSWORD", "db_password", "passphrase", "secret", "user_secret", "DB_PASS", "admin_password", "smtp-password", "rootPassword"])
+                if rng.random() < 0.75:
+                    q, tie = rng.choice(['"', "'"]), rng.choice([" = ", "=", ": ", '": ', " := "])
+                    before, after = f"{prose(2)} {key}{tie}{q}", f"{q}{rng.choice(['', ',', ';', ')'])} {prose(2)}"
+                else:
+                    cand = "".join(x for x in cand if x not in "&=<>,;").ljust(8, "5")
+                    before, after = f"{prose(2)}{rng.choice([' ', chr(10), chr(10) + 'export '])}{key.upper()}=", rng.choice(["\n", " "]) + prose(2)
+            elif form < 0.6:
                 q = rng.choice(['"', '"', "'", ""])
                 before, after = f"{prose(3)}{noise} {key}{rng.choice([' = ', ' = ', '=', ': '])}{q}", f"{q}{noise} {prose(3)}"
             elif form < 0.7:
@@ -215,7 +236,33 @@ def labelled_rows(n: int = LABELLED, seed: int = 42) -> list[dict]:
                 before, after = f'{prose(2)} {rng.choice(["token", "api_key", "password"])} = "', f'" {prose(2)}'
             elif not plain:
                 before = f"{prose(2)} {rng.choice(['name = ', 'class ', 'import ', 'path: ', 'id=', 'value: ', 'call ', 'card ', 'order '])}"
-            if (kind := rng.random()) < 0.1:  # a name itself; one '=' right after it is the candidate's
+            if rng.random() < 0.2:  # values in quotes or of variables that are no secrets
+                value_of = rng.choice(
+                    [
+                        lambda: "".join(rng.sample(WORDS, 4)).ljust(8, "e"),
+                        lambda: "-".join(rng.sample(WORDS, 4)).ljust(8, "e"),
+                        lambda: f"https://{_word(rng)}.example.org/{_word(rng)}?x={rng.randint(1, 99)}",
+                        lambda: f"{_word(rng)}.{_word(rng)}@{_word(rng)}.com",
+                        lambda: f"{rng.choice(['/usr/', './', '../', 'C:/'])}{_word(rng)}/{_word(rng)}.{rng.choice(['txt', 'py', 'html', 'json'])}",
+                        lambda: f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}",
+                        lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)).ljust(8, "0"),
+                        lambda: f"{_word(rng)}_{_word(rng)}({_word(rng)})",
+                        lambda: f"#{draw(hexes, 6)};",
+                        lambda: f"%{_word(rng)}s-%d.{_word(rng)}",
+                        lambda: f"{_word(rng).capitalize()}{_word(rng).capitalize()}{_word(rng).capitalize()}",
+                    ]
+                )
+                key = rng.choice(["name", "title", "url", "href", "class", "path", "type", "format", "email", "date", "content", "src", "id", "value", "host", "label", "charset", "lang"])
+                cand = value_of()
+                if rng.random() < 0.25:  # what stands in a password's place
+                    key = rng.choice(["password", "passwd", "secret", "api_key", "token", "DB_PASSWORD"])
+                    cand = rng.choice(["<password>", "${PASSWORD}", "{{ password }}".replace(" ", ""), "********", "xxxxxxxx", "changeme", "your-password", "password", "%PASSWORD%", "[redacted]", "placeholder", "example-password", "........", "<your-token>", "not-a-secret", "required"])
+                q = rng.choice(['"', "'"])
+                before, after = f"{prose(2)} {key}{rng.choice([' = ', '=', ': '])}{q}", f"{q}{rng.choice(['', ',', ';', '>'])} {prose(2)}"
+                if rng.random() < 0.3:
+                    cand = "".join(x for x in cand if x not in "&=<>,;").ljust(8, "e")
+                    before, after = f"{prose(2)} {key}=", " " + prose(2)
+            elif (kind := rng.random()) < 0.1:  # a name itself; one '=' right after it is the candidate's
                 cand, q = name(*keys, "url", "path", "timeout", "checksum"), rng.choice(['"', "'", ""])
                 tie = rng.choice([" = ", ": ", "="])
                 if tie == "=" and q:
@@ -254,12 +301,16 @@ def train(findings: DataFrame, seed: int = 42):
     return forest.fit(rows)
 
 
-def scan(df: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", threshold: float = THRESHOLD) -> DataFrame:
-    """Findings that the forest believes in: _id, _sha, _start (code points before it), _length, _secret, _score."""
+def scored(df: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
+    """All candidates with the forest's score: _id, _sha, _k, _start (code points before it), _length, _secret, _score."""
     model = train(labelled_findings(df.sparkSession) if findings is None else findings)
-    scored = model.transform(_vectors(candidates(df, id_col, text_col, path_col), "_cand", "_left", "_right", "_path"))
-    scored = scored.select("_id", "_sha", "_start", F.length("_cand").alias("_length"), F.col("_cand").alias("_secret"), F.get(vector_to_array("_probability"), F.lit(1)).alias("_score"))
-    return scored.where(F.col("_score") >= threshold)
+    out = model.transform(_vectors(candidates(df, id_col, text_col, path_col), "_cand", "_before", "_after", "_path"))
+    return out.select("_id", "_sha", "_k", "_start", F.length("_cand").alias("_length"), F.col("_cand").alias("_secret"), F.get(vector_to_array("_probability"), F.lit(1)).alias("_score"))
+
+
+def scan(df: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", threshold: float = THRESHOLD) -> DataFrame:
+    """Findings that the forest believes in, as ``scored`` has them."""
+    return scored(df, findings, id_col, text_col, path_col).where(F.col("_score") >= threshold)
 
 
 def scan_digest(df: DataFrame) -> DataFrame:
@@ -267,19 +318,14 @@ def scan_digest(df: DataFrame) -> DataFrame:
     return scan(df).select(F.col("_id").alias("doc_id"), F.col("_start").alias("start"), F.col("_length").alias("length"), F.sha2(F.col("_secret").cast("binary"), 256).alias("secret_sha256"), F.round("_score", 6).alias("score"))
 
 
-def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", mask: str = MASK) -> DataFrame:
-    """The table with each secret in its texts replaced by ``mask``; all rows and columns stay."""
-    found = scan(df, None, id_col, text_col, path_col)
-    spans = found.groupBy("_id", "_sha").agg(F.array_sort(F.collect_set(F.struct("_start", "_length"))).alias("_spans"))
-    spans = spans.select(F.col("_id").alias("_secret_id"), F.col("_sha").alias("_secret_sha"), F.col("_spans").alias("_secret_spans"))
-    key, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
-    joined = df.join(spans, key.eqNullSafe(F.col("_secret_id")) & (F.xxhash64(text) == F.col("_secret_sha")), "left")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    end = F.aggregate(
-        F.col("_secret_spans"),
-        start,
-        lambda a, s: F.struct((s["_start"] + s["_length"]).alias("at"), F.concat(a["out"], F.substr(text, (a["at"] + 1).cast("int"), (s["_start"] - a["at"]).cast("int")), F.lit(mask)).alias("out")),
-        lambda a: F.concat(a["out"], F.substr(text, (a["at"] + 1).cast("int"))),
-    )
-    new = F.when(F.col("_secret_spans").isNull(), text).otherwise(end)
-    return joined.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])
+def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", mask: str = MASK, threshold: float = THRESHOLD) -> DataFrame:
+    """The table with each secret in its texts replaced by ``mask``; all rows and columns stay. A text is put together once from what lies between
+    candidates and, for each candidate, itself or the mask."""
+    own = Renamed(df)
+    hits = scored(df, None, id_col, text_col, path_col).groupBy("_id", "_sha", "_k").agg(F.max(F.col("_score") >= threshold).alias("_hit"))
+    flags = hits.groupBy("_id", "_sha").agg(F.array_sort(F.collect_list(F.struct("_k", "_hit"))).alias("_flags")).where(F.exists("_flags", lambda x: x["_hit"]))
+    key, text = own.at(id_col).cast("long"), own.at(text_col).cast("string")
+    joined = own.frame.join(flags, key.eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_sha")), "left")
+    shown = F.zip_with(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), F.col("_flags"), lambda c, f: F.when(f["_hit"], F.lit(mask)).otherwise(c))
+    pairs = F.zip_with(F.split(text, CANDIDATE, -1), shown, lambda gap, c: F.concat(gap, F.coalesce(c, F.lit(""))))
+    return own.back(joined, {text_col: F.when(F.col("_flags").isNull(), text).otherwise(F.array_join(pairs, ""))})
