@@ -168,3 +168,38 @@ def unpack_super_kmer(data: bytes) -> np.ndarray:
     flat = rows.ravel()
     tail = int(counts[-1])
     return flat[3 - int(counts[0]) : 3 * (len(raw) - 1) + tail].astype(np.uint8)
+
+
+def pack_groups(bases: np.ndarray, starts: np.ndarray, lengths: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of bases one after the other, four bases a byte; each group of runs (``heads`` are the first ones) begins at a byte. Returns the
+    bytes and where groups start in them, and the end."""
+    ends = np.cumsum(lengths)
+    spots = np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+    sizes = np.add.reduceat(lengths, heads) if len(heads) else np.zeros(0, np.int64)
+    at = np.concatenate([[0], np.cumsum(-(-sizes // 4))])
+    flat = np.zeros(4 * int(at[-1]), np.uint8)
+    flat[np.arange(len(spots)) + np.repeat(4 * at[:-1] - (np.cumsum(sizes) - sizes), sizes)] = bases[spots]
+    rows = flat.reshape(-1, 4)
+    return rows[:, 0] << 6 | rows[:, 1] << 4 | rows[:, 2] << 2 | rows[:, 3], at
+
+
+def unpack_group(data: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bases of a group and offsets of its runs."""
+    raw = np.frombuffer(data, np.uint8)
+    offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    return np.stack([raw >> 6, raw >> 4 & 3, raw >> 2 & 3, raw & 3], axis=1).ravel()[: offsets[-1]], offsets
+
+
+def tally(low: np.ndarray, high: np.ndarray | None, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct codes in ascending order, as high and low parts, with the sums of their counts (of one each by default)."""
+    if high is None and counts is None:
+        low, sums = np.unique(low, return_counts=True)
+        return np.zeros(len(low), np.uint64), low, sums.astype(np.int64)
+    high = np.zeros(len(low), np.uint64) if high is None else high
+    order = np.lexsort((low, high))
+    low, high = low[order], high[order]
+    if not len(low):
+        return high, low, np.zeros(0, np.int64)
+    head = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+    sums = np.diff(np.concatenate([head, [len(low)]])) if counts is None else np.add.reduceat(counts[order], head)
+    return high[head], low[head], sums.astype(np.int64)

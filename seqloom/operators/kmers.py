@@ -12,36 +12,36 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from seqloom.config import CountConfig
 from seqloom.functions import vector
+from seqloom.functions.batches import bounded
 from seqloom.functions.sequence import decode
 
 UINT32 = 4294967295
-#: k-mers counted together before they leave the kernel, and reads in an Arrow batch.
+#: k-mers counted together before they leave the kernel, and reads that a kernel sees at once.
 COUNTED, READS = 4_000_000, 1024
+#: Input splits for each core from which reads stay where they are read.
+ENOUGH = 2
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals rows to all shuffle partitions: a file may be a single task, and reads are an eighth of their k-mers' bytes."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(READS))
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Deals rows to all shuffle partitions if the input makes few splits, as a small file may be a single task. Reads that come in splits enough, by
+    the planner's estimate of their size, are not shuffled."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    splits = size // spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    if splits >= ENOUGH * spark.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _coder(k: int, canonical: bool, hpc: bool) -> Callable:
     def emit(parts: list[tuple[np.ndarray, np.ndarray | None]]) -> pa.RecordBatch:
         low = np.concatenate([p[0] for p in parts])
-        if k <= 32:
-            low, counts = np.unique(low, return_counts=True)
-            high = np.zeros(len(low), np.uint64)
-        else:
-            high = np.concatenate([p[1] for p in parts])
-            order = np.lexsort((low, high))
-            low, high = low[order], high[order]
-            head = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])) if len(low) else np.zeros(0, int)
-            counts = np.diff(np.concatenate([head, [len(low)]]))
-            low, high = low[head], high[head]
-        return pa.RecordBatch.from_arrays([pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), pa.array(counts.astype(np.int64))], ["hi", "lo", "cnt"])
+        high, low, counts = vector.tally(low, None if k <= 32 else np.concatenate([p[1] for p in parts]))
+        return pa.RecordBatch.from_arrays([pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), pa.array(counts)], ["hi", "lo", "cnt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -65,13 +65,13 @@ def _coder(k: int, canonical: bool, hpc: bool) -> Callable:
 def kmer_code_counts(reads: DataFrame, k: int = 21, canonical: bool = True, hpc: bool = False) -> DataFrame:
     """hi, lo, cnt of each distinct k-mer: lo holds the last 32 bases, hi those before. reads: seq, raw or normalized."""
     own = spread(reads.select("seq"))
-    return own.mapInArrow(_coder(k, canonical, hpc), "hi long, lo long, cnt long").groupBy("hi", "lo").agg(F.sum("cnt").alias("cnt"))
+    return own.mapInArrow(bounded(_coder(k, canonical, hpc), READS), "hi long, lo long, cnt long").groupBy("hi", "lo").agg(F.sum("cnt").alias("cnt"))
 
 
-def kmer_strings(counts: DataFrame, k: int) -> DataFrame:
-    """kmer, cnt in place of the codes."""
+def kmer_strings(counts: DataFrame, k: int, *others: str) -> DataFrame:
+    """kmer, cnt in place of the codes, after other columns that are kept."""
     kmer = decode(F.col("lo"), k) if k <= 32 else F.concat(decode(F.col("hi"), k - 32), decode(F.col("lo"), 32))
-    return counts.select(kmer.alias("kmer"), "cnt")
+    return counts.select(*others, kmer.alias("kmer"), "cnt")
 
 
 def count_kmers(reads: DataFrame, cfg: CountConfig = CountConfig(), canonical: bool = True) -> DataFrame:
@@ -96,8 +96,13 @@ def totals(reads: DataFrame, k: int = 21) -> DataFrame:
 
 
 def ordered(counts: DataFrame) -> DataFrame:
-    """Counts sorted by k-mer within each partition; no shuffle."""
-    return counts.sortWithinPartitions(*[c for c in ("hi", "lo", "kmer") if c in counts.columns])
+    """Counts sorted by k-mer within each partition; no shuffle. Codes of up to 31 bases are in the order of their bases."""
+    return counts.sortWithinPartitions(*[c for c in ("part", "hi", "lo", "kmer") if c in counts.columns])
+
+
+def ranked(counts: DataFrame) -> DataFrame:
+    """Counts with each k-mer's rank, from 1, in the order of its partition by minimizer. counts: part, kmer, cnt."""
+    return counts.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy("kmer")).cast("long"))
 
 
 def spectrum(reads: DataFrame, k: int = 21) -> DataFrame:

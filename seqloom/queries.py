@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +12,9 @@ from seqloom.config import CountConfig
 from seqloom.functions import sequence as S
 from seqloom.operators import kmers as K
 from seqloom.operators import superkmers as SK
+from seqloom.plans import counting
 from seqloom.sources import reads as R
+from seqloom.sources.shared import scratch
 
 CFG = CountConfig()
 #: Memory and budget by which partitions are called oversize, in bytes, and the most partitions in a batch.
@@ -145,16 +146,57 @@ def q22_length_order(spark, sf_dir):
     return rows.select("doc_id", "batch", rank.alias("rank"))
 
 
+def q18_counts_by_exchange(spark, sf_dir):
+    """As q01, by an exchange of packed super-k-mers; groups so small that frequent minimizers are dealt to several tasks."""
+    return SK.count_by_partition(raw_reads(spark, sf_dir), CFG, group_kmers=20_000).select("kmer", "cnt")
+
+
+def q18_counts_by_spill(spark, sf_dir):
+    return counting.count_spilled(spark, raw_reads(spark, sf_dir), scratch(spark, "super-kmers"), CFG)
+
+
+def q18_exchange_k55(spark, sf_dir):
+    return SK.count_by_partition(raw_reads(spark, sf_dir), CountConfig(k=55)).select("kmer", "cnt")
+
+
 def q23_fasta_round_trip(spark, sf_dir):
     """Reads written as gzipped FASTA into the shared folder and read back."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/seqloom-checkpoints")
-    path = f"{spark.sparkContext.getCheckpointDir()}/fasta-{uuid.uuid4().hex}"
+    path = scratch(spark, "fasta")
     R.write_fasta(reads(spark, sf_dir, 1), path, compression="gzip")
     back = R.fasta_at(spark, path)
     return back.select(F.col("name").cast("long").alias("doc_id"), "seq")
 
 
+def _by_fastq(compression: str, line_end: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark, sf_dir):
+        path = scratch(spark, "fastq")
+        R.write_fastq(reads(spark, sf_dir, 1), path, compression=compression, line_end=line_end)
+        return R.fastq_at(spark, path).select(F.col("name").cast("long").alias("doc_id"), "seq")
+
+    return query
+
+
+def q23_mixed_files(spark, sf_dir):
+    """Canonical counts of reads in files of all four kinds, read by one call; formats are told apart by name."""
+    own, paths = reads(spark, sf_dir, 1), []
+    for k, (write, compression, ending) in enumerate(((R.write_fasta, "none", ".fa"), (R.write_fasta, "gzip", ".fa.gz"), (R.write_fastq, "none", ".fastq"), (R.write_fastq, "gzip", ".fq.gz"))):
+        paths.append(scratch(spark, "mixed"))
+        write(own.where(F.pmod("read_id", F.lit(4)) == k), paths[k], compression=compression, ending=ending)
+    return counting.count_files(spark, paths, CFG)
+
+
+def q26_key_order(spark, sf_dir):
+    return K.ranked(SK.count_by_partition(raw_reads(spark, sf_dir), CFG))
+
+
+def q27_metrics(spark, sf_dir):
+    return counting.metrics(raw_reads(spark, sf_dir), CFG)
+
+
+def q28_split_at_n(spark, sf_dir):
+    return K.count_kmers(R.split_at_n(raw_reads(spark, sf_dir)), CFG)
+
+
 def q24_compressed_counts(spark, sf_dir):
     return K.count_kmers(raw_reads(spark, sf_dir), CountConfig(hpc=True))
 
@@ -195,9 +237,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q21_counts_k32": _counts(32),
     "q21_counts_k55": _counts(55),
     "q22_length_order": q22_length_order,
+    "q18_counts_by_exchange": q18_counts_by_exchange,
+    "q18_counts_by_spill": q18_counts_by_spill,
+    "q18_exchange_k55": q18_exchange_k55,
     "q23_fasta_round_trip": q23_fasta_round_trip,
+    "q23_fastq_round_trip": _by_fastq("none", "\n"),
+    "q23_fastq_gz_crlf": _by_fastq("gzip", "\r\n"),
+    "q23_mixed_files": q23_mixed_files,
     "q24_compressed_counts": q24_compressed_counts,
     "q25_spectrum": q25_spectrum,
+    "q26_key_order": q26_key_order,
+    "q27_metrics": q27_metrics,
+    "q28_split_at_n": q28_split_at_n,
 }
 
 # --- the same in SQL ---
@@ -310,7 +361,23 @@ SELECT p.part::INTEGER AS part, coalesce(n, 0)::BIGINT AS distinct_kmers FROM ra
     "q21_counts_k55": _count_sql(55),
     "q22_length_order": f"""WITH {_READS} SELECT doc_id, (doc_id // {BATCH})::BIGINT AS batch,
     row_number() OVER (PARTITION BY doc_id // {BATCH} ORDER BY length(seq), doc_id)::BIGINT AS rank FROM reads WHERE length(seq) >= 21""",
+    "q18_counts_by_exchange": _count_sql(21),
+    "q18_counts_by_spill": _count_sql(21),
+    "q18_exchange_k55": _count_sql(55),
     "q23_fasta_round_trip": f"WITH {_READS} SELECT doc_id, seq FROM reads WHERE length(seq) >= 1",
+    "q23_fastq_round_trip": f"WITH {_READS} SELECT doc_id, seq FROM reads WHERE length(seq) >= 1",
+    "q23_fastq_gz_crlf": f"WITH {_READS} SELECT doc_id, seq FROM reads WHERE length(seq) >= 1",
+    "q23_mixed_files": _count_sql(21),
     "q24_compressed_counts": _count_sql(21, seq=_SQUEEZED.format("seq")),
     "q25_spectrum": f"WITH c AS ({_count_sql(21)}) SELECT cnt, count(*)::BIGINT AS kmers FROM c GROUP BY cnt",
+    "q26_key_order": f"""WITH {_skm('default')}, x AS ({_KMER_OF_SKM}), c AS (SELECT part, least(x, {_RC.format('x')}) AS kmer, count(*)::BIGINT AS cnt FROM x GROUP BY 1, 2)
+SELECT part, kmer, cnt, row_number() OVER (PARTITION BY part ORDER BY kmer)::BIGINT AS rank FROM c""",
+    "q27_metrics": f"""WITH {_skm('default')}, x AS ({_KMER_OF_SKM}), m AS (
+    SELECT (SELECT count(*) FROM reads) AS reads_in, (SELECT sum(length(seq)) FROM reads) AS bases_in, (SELECT count(*) FROM reads WHERE length(seq) >= 21) AS reads,
+           sum(kmer_cnt) AS kmer_cnt, sum(skm_cnt) AS skm_cnt, sum(bytes) AS skm_bytes, (SELECT count(DISTINCT least(x, {_RC.format('x')})) FROM x) AS distinct_kmers,
+           max(bytes) AS part_max, min(bytes) AS part_min FROM stats
+), n AS (SELECT COLUMNS(*)::BIGINT FROM m) UNPIVOT n ON COLUMNS(*) INTO NAME metric VALUE value""",
+    "q28_split_at_n": f"""WITH cut AS (SELECT unnest(regexp_split_to_array(upper(regexp_replace(text, '[^ACGTNUacgtnu]', '', 'g')), '[NU]+')) AS seq FROM documents WHERE text IS NOT NULL),
+kmers AS (SELECT unnest(list_transform(range(1, length(seq) - 19), lambda i: substr(seq, i, 21))) AS x FROM cut WHERE length(seq) >= 21)
+SELECT least(x, {_RC.format('x')}) AS kmer, count(*)::BIGINT AS cnt FROM kmers GROUP BY 1""",
 }

@@ -3,8 +3,9 @@
 Files are framed one by one: a file's last line may lack its line feed, lines may end in CR LF, FASTA sequences may span lines and FASTQ
 quality lines may start with ``@``. Format and compression are inferred per file from its name.
 
-Plain files are read in splits by Spark's text source, FASTA cut at ``\\n>`` so that a record is never divided; FASTQ, whose records only
-line numbers tell apart, and gzip, which can't be split, go through one task a file, as streams and not as whole files in memory.
+Plain files are read in splits by Spark's text source, one scan for all files of a format. FASTA is cut at ``\\n>`` so that a record is never divided. In
+FASTQ only line numbers tell records apart: the lines of each split are counted first, and each split then reads on from the number (modulo 4) and
+the last line of the one before. Gzip, which can't be split, is streamed by a task a file, and the reads are dealt to all tasks if the files are few.
 """
 
 from __future__ import annotations
@@ -14,9 +15,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from seqloom.functions.batches import bounded
 from seqloom.functions.sequence import normalize
 
+#: Lines that a kernel sees at once.
+LINES = 8192
+#: Splits of which the numbers (about 150 bytes each) are broadcast; with more, files go through a task each.
+BROADCAST_SPLITS = 200_000
 #: Reads longer than this are counted in overlapping blocks.
 BLOCK = 1 << 16
 
@@ -62,34 +69,53 @@ def _fasta(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def _fastq_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows source, value of whole files in line order: every fourth line's header and sequence."""
-    source, line, name = None, 0, ""
+    """Lines of splits in order, as source, start of the split, line, number modulo 4 of its first line and the line before it: every fourth
+    line's header and the sequence that follows it."""
+    split, number, name = None, 0, ""
     for batch in batches:
         out: list[tuple[str, str, str]] = []
-        for own, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if own != source:
-                source, line = own, 0
-            if line % 4 == 0:
-                name = value.rstrip("\r\n ").removeprefix("@")
-            elif line % 4 == 1:
-                out.append((own, name, value.strip()))
-            line += 1
+        for source, start, value, first, before in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (source, start) != split:
+                split, number, name = (source, start), first, before or ""
+            if number % 4 == 0:
+                name = value
+            elif number % 4 == 1:
+                out.append((source, name.rstrip("\r\n ").removeprefix("@"), value.strip()))
+            number += 1
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string()) for k in range(3)], ["source", "name", "seq"])
 
 
-def _fastq(spark: SparkSession, paths: list[str]) -> DataFrame:
-    frames = [spark.read.text(p, wholetext=False).coalesce(1) if is_gzip(p) else _in_order(spark, p) for p in paths]
-    out = None
-    for frame, path in zip(frames, paths, strict=True):
-        one = frame.select(F.lit(path).alias("source"), "value").mapInArrow(_fastq_lines, "source string, name string, seq string")
-        out = one if out is None else out.unionByName(one)
-    return out
+def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return spark.read.text(paths).select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("start"), "value")
+
+
+def _split_numbers(lines: DataFrame) -> DataFrame:
+    """source, start, first (the number modulo 4 of a split's first line) and before (the line before it). A split is read by one task in order."""
+    at = F.monotonically_increasing_id()
+    own = lines.withColumn("_at", at).groupBy("source", "start").agg(F.count(F.lit(1)).alias("_n"), F.max_by("value", "_at").alias("_last"))
+    order = Window.partitionBy("source").orderBy("start")
+    first = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 4
+    return own.select("source", "start", first.cast("int").alias("first"), F.lag("_last").over(order).alias("before"))
 
 
-def _in_order(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of one plain file in order, in one partition."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"), "value")
-    return lines.coalesce(1).sortWithinPartitions("b", "i").select("value")
+def _fastq(spark: SparkSession, paths: list[str]) -> DataFrame:
+    plain, zipped = [p for p in paths if not is_gzip(p)], [p for p in paths if is_gzip(p)]
+    schema, frames = "source string, name string, seq string", []
+    if plain:
+        numbers = _split_numbers(_lines(spark, plain)).persist()
+        if numbers.count() <= BROADCAST_SPLITS:
+            lines = _lines(spark, plain).join(F.broadcast(numbers), ["source", "start"], "left")
+            known = F.when(F.col("first").isNull(), F.raise_error(F.lit("a split of a FASTQ file changed while it was read"))).otherwise(F.col("first")).cast("int")
+            lines = lines.select("source", "start", "value", known.alias("first"), "before")
+        else:
+            lines = _lines(spark, plain).withColumn("_at", F.monotonically_increasing_id()).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "source")
+            lines = lines.sortWithinPartitions("source", "start", "_at").select("source", F.lit(0).cast("long").alias("start"), "value", F.lit(0).alias("first"), F.lit(None).cast("string").alias("before"))
+        frames.append(lines.mapInArrow(bounded(_fastq_lines, LINES), schema))
+    if zipped:
+        lines = _lines(spark, zipped).withColumns({"first": F.lit(0), "before": F.lit(None).cast("string")})
+        rows = lines.mapInArrow(bounded(_fastq_lines, LINES), schema)
+        frames.append(rows if len(zipped) >= 2 * spark.sparkContext.defaultParallelism else rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
 
 
 def read_sequences(spark: SparkSession, paths: str | list[str], min_length: int = 0) -> DataFrame:
@@ -104,9 +130,32 @@ def read_sequences(spark: SparkSession, paths: str | list[str], min_length: int
     return out.select(F.xxhash64("source", "name", "seq").alias("read_id"), "source", "name", "seq")
 
 
-def write_fasta(reads: DataFrame, path: str, id_col: str = "read_id", seq_col: str = "seq", compression: str = "none") -> None:
-    """One record a read, ``>id`` and its sequence on one line; Spark names the files, so read them back with ``fasta_at``."""
-    reads.select(F.concat(F.lit(">"), F.col(id_col).cast("string"), F.lit("\n"), F.col(seq_col)).alias("value")).write.option("compression", compression).text(path)
+def _write_text(rows: DataFrame, path: str, compression: str, ending: str | None) -> None:
+    rows.write.option("compression", compression).text(path)
+    if ending:  # a rename a file, one file a task; object stores copy
+        spark = rows.sparkSession
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for status in system.listStatus(place):
+            own = status.getPath()
+            if own.getName().startswith("part-"):
+                system.rename(own, own.suffix(ending))
+
+
+def write_fasta(reads: DataFrame, path: str, id_col: str = "read_id", seq_col: str = "seq", compression: str = "none", ending: str | None = None) -> None:
+    """One record a read, ``>id`` and its sequence on one line. Spark names the files, so give an ending that tells the format, or read them with ``fasta_at``."""
+    _write_text(reads.select(F.concat(F.lit(">"), F.col(id_col).cast("string"), F.lit("\n"), F.col(seq_col)).alias("value")), path, compression, ending)
+
+
+def write_fastq(reads: DataFrame, path: str, id_col: str = "read_id", seq_col: str = "seq", compression: str = "none", ending: str | None = None, line_end: str = "\n") -> None:
+    """One record a read: ``@id``, its sequence, ``+`` and a quality of as many ``@``, which is the least favourable for readers."""
+    record = F.concat_ws(line_end, F.concat(F.lit("@"), F.col(id_col).cast("string")), F.col(seq_col), F.lit("+"), F.repeat(F.lit("@"), F.length(seq_col)))
+    _write_text(reads.select(F.concat(record, F.lit("\r" if line_end == "\r\n" else "")).alias("value")), path, compression, ending)
+
+
+def fastq_at(spark: SparkSession, path: str) -> DataFrame:
+    """Records of FASTQ files of any name below path; those that end in gz are gzipped."""
+    return _fastq(spark, list_files(spark, [path]))
 
 
 def fasta_at(spark: SparkSession, path: str) -> DataFrame:
@@ -127,6 +176,12 @@ def normalized(reads: DataFrame, k: int = 1) -> DataFrame:
     return reads.select("read_id", "source", normalize(F.col("seq")).alias("seq")).where(F.length("seq") >= k)
 
 
+def split_at_n(reads: DataFrame) -> DataFrame:
+    """Extension: read_id, source, seq of the stretches between N and U, which ``normalized`` reads as A; a stretch has the id of its read."""
+    bases = F.upper(F.regexp_replace("seq", "[^ACGTNUacgtnu]", ""))
+    return reads.select("read_id", "source", F.explode(F.split(bases, "[NU]+")).alias("seq")).where(F.length("seq") > 0)
+
+
 def in_blocks(reads: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """Reads cut into blocks that overlap in k - 1 bases: each k-mer is in one block, and no task holds a whole chromosome's k-mers.
 

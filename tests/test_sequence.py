@@ -166,3 +166,23 @@ def test_config_checks():
     for bad in ({"k": 0}, {"k": 65}, {"p": 2}, {"p": 17}, {"k": 5, "p": 7}, {"parts": 0}, {"pmer_filter": "x"}, {"min_freq": 5, "max_freq": 2}):
         with pytest.raises(ValueError):
             CountConfig(**bad)
+
+
+def test_groups_of_runs_pack_and_unpack():
+    rng = np.random.default_rng(6)
+    bases = rng.integers(0, 4, 900).astype(np.uint8)
+    lengths = rng.integers(1, 40, 30)
+    starts = rng.integers(0, 850, 30)
+    heads = np.array([0, 1, 9, 29])
+    data, at = V.pack_groups(bases, starts, lengths, heads)
+    for g, (a, b) in enumerate(zip(heads, [*heads[1:], 30])):
+        own, offsets = V.unpack_group(data[at[g] : at[g + 1]].tobytes(), lengths[a:b].astype("<u4"))
+        for k in range(a, b):
+            assert (own[offsets[k - a] : offsets[k - a + 1]] == bases[starts[k] : starts[k] + lengths[k]]).all()
+
+
+def test_tally_adds_counts():
+    low, high = np.array([5, 5, 2, 5], np.uint64), np.array([1, 0, 1, 1], np.uint64)
+    assert [x.tolist() for x in V.tally(low, high)] == [[0, 1, 1], [5, 2, 5], [1, 1, 2]]
+    assert [x.tolist() for x in V.tally(low, None, np.array([4, 1, 7, 1]))] == [[0, 0], [2, 5], [7, 6]]
+    assert [len(x) for x in V.tally(low[:0], None)] == [0, 0, 0]

@@ -41,6 +41,28 @@ def test_splits_cut_no_record(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", held)
 
 
+def test_fastq_splits_anywhere(spark, tmp_path, monkeypatch):
+    """Splits of about 100 bytes begin in headers, sequences, separators and qualities, some of them with an at sign."""
+    records = [(f"r{k}", "ACGTTGCA"[: 1 + k % 8] * (k % 9) or "G") for k in range(400)]
+    for name, end in (("a.fq", "\n"), ("b.fastq", "\r\n")):
+        (tmp_path / name).write_bytes(end.join(f"@{name}{k}{end}{v}{end}+{k}{end}@{'+' * (len(v) - 1)}" for k, v in records).encode())
+    write(tmp_path / "c.fq.gz", "\n".join(f"@c{k}\n{v}\n+\n{'@' * len(v)}" for k, v in records))
+    want = sorted([(f"{n}{k}", v) for n in ("a.fq", "b.fastq", "c") for k, v in records])
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "97")
+    try:
+        assert sorted((r.name, r.seq) for r in R.read_sequences(spark, str(tmp_path)).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    monkeypatch.setattr(R, "BROADCAST_SPLITS", 0)
+    assert sorted((r.name, r.seq) for r in R.read_sequences(spark, str(tmp_path)).collect()) == want
+
+
+def test_split_at_n(spark):
+    reads = spark.createDataFrame([(1, None, "nACGNNu-tt"), (2, None, "NN"), (3, None, None), (4, None, "AC")], "read_id long, source string, seq string")
+    assert sorted(tuple(r) for r in R.split_at_n(reads).select("read_id", "seq").collect()) == [(1, "ACG"), (1, "TT"), (4, "AC")]
+
+
 def test_round_trips(spark, tmp_path):
     reads = spark.createDataFrame([(k, None, "ACGTTGCATTAGACGT" * 4) for k in range(9)], "read_id long, source string, seq string")
     R.write_fasta(reads, str(tmp_path / "out"), compression="gzip")
