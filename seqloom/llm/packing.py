@@ -18,7 +18,9 @@ import heapq
 import json
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,7 +36,7 @@ CAPACITY, SEPARATOR = 2048, 0
 #: Sequences of a group, reckoned at TOKEN bytes a token, and documents at most.
 GROUP, TOKEN, GROUP_ROWS = 1000, 4, 100_000
 #: Bytes of words and ids that a worker remembers; beyond, it starts anew. Parts of more characters than LONG are encoded and forgotten.
-REMEMBERED, LONG = 64 << 20, 64
+REMEMBERED, LONG = 160 << 20, 64
 #: Bytes that an entry takes besides its characters and ids.
 ENTRY = 250
 
@@ -64,6 +66,14 @@ def _ranked(made: dict):
     return tiktoken.Encoding("by_ranks", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _bytes(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    out = array("I", ids)
+    if sys.byteorder != "little":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Encoder:
     """The ids of a byte-level tokenizer of which no token spans the start of a space before a word.
 
@@ -89,12 +99,12 @@ class Encoder:
             encode = self.ranked.encode_ordinary
             for part in fresh:
                 if len(part) <= LONG and _LATIN.fullmatch(part):
-                    out[part] = np.array(encode(lead + part), "<u4").tobytes()
+                    out[part] = _bytes(encode(lead + part))
             fresh = [x for x in fresh if x not in out]
         for k in range(0, len(fresh), 4096):
             some = fresh[k : k + 4096]
             for part, e in zip(some, self.tokenizer.encode_batch_fast([lead + x for x in some], add_special_tokens=False), strict=True):
-                out[part] = np.array(e.ids, "<u4").tobytes()
+                out[part] = _bytes(e.ids)
         return out
 
     def _ids(self, parts: list[str], lead: str) -> bytes:
@@ -117,11 +127,10 @@ class Encoder:
         return out
 
     def __call__(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
         if not text:
             return b""
         if any(x in text for x in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
         parts = _BETWEEN.split(text) if _RUN.search(text) else text.split(" ")
         return self._ids(parts[:1], "") + self._ids(parts[1:], " ")
 
