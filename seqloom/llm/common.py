@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions.batches import bounded
+from seqloom.sources.shared import shared_dir
 
 #: Rows of text that a kernel sees at once; fewer where they would exceed the bytes of a piece.
 ARROW_ROWS = 256
@@ -48,10 +49,5 @@ def partitions_for(spark: SparkSession) -> int:
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Keeps the folder that the cluster names. Only a local session, whose executors are the driver, may have a folder of its own."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and context.master.partition("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(named or "/tmp/seqloom-checkpoints")
+    """Checkpoints go to the shared folder that the cluster names."""
+    shared_dir(spark)
