@@ -12,17 +12,16 @@ executor costs no more than a stage. Null texts, empty tables, repeated rows and
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import langid, packing, secrets, simhash, substring
-from seqloom.llm.common import table, use_checkpoints
+from seqloom.llm.common import table
+from seqloom.sources.shared import scratch
 
-#: A text whose likeliest of the learned languages scores less than this is taken for none of them.
-LEAST_SCORE = 0.3
+#: A text whose likeliest of the learned languages has no more than the others together is taken for none of them.
+LEAST_SCORE = 0.5
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -64,12 +63,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of what the stages keep of ``documents``."""
-    use_checkpoints(spark)
-    shared = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{shared}/{name}")
-            docs = spark.read.parquet(f"{shared}/{name}")
+            path = scratch(spark, name)
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs
