@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -162,18 +163,19 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
 
+def _literal(values: list, kind: str) -> Column:
+    """An array of values as one literal: the plan doesn't grow with their number."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
 def _range_of(key: Column, bounds: list[int]) -> Column:
     """How many of the sorted bounds are at most key, found in two steps of about sqrt(len(bounds)) comparisons."""
     if not bounds:
         return F.lit(0)
     m = max(1, round(len(bounds) ** 0.5))
-    parts = [bounds[k : k + m] for k in range(0, len(bounds), m)]
     under = lambda values: F.size(F.filter(values, lambda x: x <= key))
-    longs = lambda values: F.array(*[F.lit(x).cast("long") for x in values])
-    tops = [p[-1] for p in parts if len(p) == m]
-    coarse = under(longs(tops)) if tops else F.lit(0)
-    rest = F.array(*[longs(p) for p in parts], F.array().cast("array<long>"))
-    return coarse * m + under(F.element_at(rest, coarse + 1))
+    coarse = under(_literal(bounds[m - 1 :: m], "long"))
+    return coarse * m + under(F.slice(_literal(bounds, "long"), coarse * m + 1, F.lit(m)))
 
 
 def edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,7 +191,7 @@ def edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     order = sorted(heads)
     before = {b: order[k - 1] for k, b in enumerate(order)}
     size = len(bounds) + 1
-    at = lambda values, kind: F.element_at(F.array(*[F.lit(values.get(k)).cast(kind) for k in range(size)]), F.col("_b") + 1)
+    at = lambda values, kind: F.element_at(_literal([values.get(k) for k in range(size)], kind), F.col("_b") + 1)
     here = F.struct(F.col("_b"), F.lit(0).alias("_look"))
     ahead = F.struct(at(before, "int").alias("_b"), F.lit(1).alias("_look"))
     dealt = own.withColumn("_to", F.explode(F.when(F.col("_o") == at(heads, "long"), F.array(here, ahead)).otherwise(F.array(here))))
