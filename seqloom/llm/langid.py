@@ -5,7 +5,8 @@ filter keeps its maximum in a window, and softmax over these maxima gives the wi
 the mean over its windows.
 
 Training reads a bounded sample: about ``PER_LANGUAGE`` documents of each language, drawn by a seeded hash of the id from the
-rows that may be learned from, and of each at most ``WINDOWS_EACH`` windows. The network is a few tens of kB.
+rows that may be learned from, and of each at most ``WINDOWS_EACH`` windows. Of a column with more than ``LANGUAGES`` different values the most frequent
+are learned, so neither sample nor network grows with what else stands in it. The network is a few tens of kB.
 
 Defined cases. Null text or one without a letter: ``und``, score 0. Null languages are never learned from. No row to learn from:
 every text is ``und``. One language only: every text with a letter has it. Ties go to the language that sorts first. Repeated
@@ -22,11 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-from seqloom.llm.common import map_batches
+from seqloom.llm.common import Renamed, map_batches
 
 WINDOW, DIM, WIDTHS, FILTERS = 192, 8, (2, 3, 4, 5), 10
-PER_LANGUAGE, WINDOWS_EACH, LEAST_BYTES = 400, 4, 24
+PER_LANGUAGE, LANGUAGES, WINDOWS_EACH, LEAST_BYTES = 400, 100, 4, 24
 #: Windows in one product of matrices.
 CHUNK = 512
 
@@ -139,10 +141,10 @@ def may_learn(doc_id, lang):
     return lang.isNotNull() & (F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0)
 
 
-def sample(df: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 42) -> list[tuple[bytes, str]]:
+def sample(df: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 42, languages: int = LANGUAGES) -> list[tuple[bytes, str]]:
     """Windows and their languages from about ``per_language`` documents of each language: bounded, and collected to train on."""
     rows = df.select(F.col("doc_id"), F.col("lang"), F.col("text")).where(may_learn(F.col("doc_id"), F.col("lang")))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     if not counts:
         return []
     rates = F.create_map(*[F.lit(v) for k, n in sorted(counts.items()) for v in (k, min(1.0, per_language / n))])
@@ -201,17 +203,14 @@ def identify(df: DataFrame, seed: int = 42) -> DataFrame:
     return map_batches(own, _predictor(net, 2), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def _keeper(net: Network | None, at: int, least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, values = predict(net, batch.column(at).to_pylist())
-            yield batch.filter(pa.array([n != "und" and v >= least for n, v in zip(names, values, strict=True)], pa.bool_()))
-
-    return run
-
-
 def keep_known(df: DataFrame, least: float, seed: int = 42) -> DataFrame:
-    """Rows whose text has a language with a score of at least ``least``, unchanged and with all their columns."""
+    """Rows whose text has a language with a score of at least ``least``, unchanged and with all their columns, of whatever names and types."""
     learned = sample(df, seed=seed)
     net = train(learned, seed) if learned else None
-    return map_batches(df, _keeper(net, df.columns.index("text"), least), df.schema)
+
+    def known(texts: pa.Array) -> pa.Array:
+        names, values = predict(net, texts.to_pylist())
+        return pa.array([n != "und" and v >= least for n, v in zip(names, values, strict=True)], pa.bool_())
+
+    own = Renamed(df)
+    return own.back(own.frame.where(F.arrow_udf(known, BooleanType())(own.at("text").cast("string"))))
