@@ -481,6 +481,22 @@ def removed(n_words: int, windows: list) -> np.ndarray:
     return np.cumsum(gone)[:n_words] > 0
 
 
+def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for key, sha, windows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            marked = [(w["_first"], w["_mask"]) for w in windows]
+            gone = removed(max(a + m.bit_length() for a, m in marked) + WINDOW - 1, marked)
+            turns = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+            rows += [(key, sha, a, b - a) for a, b in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True)]
+        yield _arrow("_id long, _sha long, start long, words long", rows)
+
+
+def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """_id, _sha (a hash of the text), start and words: each longest run of words of a document that repeats cover, by numbers of words."""
+    return map_batches(marks(df, id_col, text_col), _span_rows, "_id long, _sha long, start long, words long")
+
+
 def _kept(text: str | None, windows: list | None) -> tuple[int, int, bytes]:
     """Number of words, of removed ones, and the kept ones joined by a space."""
     words = _raw(text).split()

@@ -69,6 +69,14 @@ def test_cut_keeps_columns_and_clean_texts(spark):
     assert substring.dedup_digest(df.limit(0)).count() == 0
 
 
+def test_spans_are_the_runs_that_go(spark):
+    rows = [r for r in rows_with_repeats() if r[0] is not None and r[0] not in (5, 6)]
+    got = defaultdict(set)
+    for r in substring.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r._id] |= set(range(r.start, r.start + r.words))
+    assert {k: len(v) for k, v in got.items()} == {k: gone for k, _, gone, _ in brute(rows) if gone}
+
+
 def sorted_like(rows):
     found = defaultdict(list)
     for k, n, g, t in brute(rows):
