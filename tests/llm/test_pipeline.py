@@ -79,6 +79,18 @@ def test_stages_against_brute_force(spark, corpus):
     assert sorted(map(tuple, run)) == sorted(map(tuple, packed))
 
 
+def test_stages_with_clashing_names_and_types(spark, corpus):
+    path, rows = corpus
+    extra = {"_id": "map('a', doc_id)", "_fp": "source", "_sha": "1", "_windows": "array(1)", "_mark_id": "doc_id", "_flags": "source", "_k": "2", "column0": "map(1, text)", "_component": "3", "`a b.c`": "4"}
+    docs = spark.read.parquet(f"{path}/documents.parquet").where("doc_id % 5 = 0 OR doc_id >= 200").selectExpr("*", *[f"{v} AS {k}" for k, v in extra.items()])
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, path).checkpoint()
+        assert docs.columns == columns and docs.count() > 20, name
+        assert docs.where("_mark_id <> doc_id OR _id['a'] <> doc_id OR `a b.c` <> 4").count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, path).count() >= docs.count()
+
+
 def test_language_on_held_out_rows(spark):
     df = spark.read.parquet(f"{os.environ.get('SEQLOOM_DATA', '/root/testdata')}/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     found = langid.identify(df).join(df.select("doc_id", "lang"), "doc_id").collect()
