@@ -20,7 +20,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-p", type=int, default=7)
     p.add_argument("-skm", type=int, default=31, help="partitions by minimizer")
     p.add_argument("-hpc", type=int, default=0, choices=(0, 1))
-    p.add_argument("-tmp", default=None, help="folder for super-k-mers; without, Spark's shuffle holds them")
+    p.add_argument("-tmp", default=None, help="folder for packed super-k-mers, from which counts are made; without, Spark's shuffle holds what is counted")
     p.add_argument("-im", action="store_true", help="leave super-k-mers in memory and shuffle files even if -tmp is given")
     p.add_argument("-filter", default="default", choices=FILTERS)
     p.add_argument("-min", type=int, default=1, dest="min_freq")
@@ -40,10 +40,12 @@ def main(argv: list[str] | None = None) -> int:
     reads = R.read_sequences(spark, args.read)
     row = counting.timed("report", lambda: counting.report(reads, cfg).first())
     print(" ".join(f"{k}={v}" for k, v in row.asDict().items()))
-    if args.tmp and not args.im:
-        counting.timed("super-k-mers", lambda: SK.spill(SK.super_kmers(reads, cfg), args.tmp))
+    spilled = args.tmp and not args.im
     if args.out:
-        counting.timed("counts", lambda: R.write_counts(counting.count_reads(reads, cfg), args.out, args.text))
+        counts = counting.count_spilled(spark, reads, args.tmp, cfg) if spilled else counting.count_reads(reads, cfg)
+        counting.timed("counts", lambda: R.write_counts(counts, args.out, args.text))
+    elif spilled:
+        counting.timed("super-k-mers", lambda: SK.spill(SK.super_kmer_blocks(reads, cfg), args.tmp))
     return 0
 
 

@@ -31,7 +31,7 @@ def count_files(spark: SparkSession, paths: list[str], cfg: CountConfig = CountC
 
 
 def count_reads(reads: DataFrame, cfg: CountConfig = CountConfig(), via_super_kmers: bool = False) -> DataFrame:
-    """kmer, cnt. By super-k-mers the key also has the partition; without, long reads are cut into blocks first."""
+    """kmer, cnt. By super-k-mers packed blocks of them are shuffled; without, k-mers are, and long reads are cut into blocks first."""
     if via_super_kmers:
         return K.within(SK.count_by_partition(reads, cfg).select("kmer", "cnt"), cfg.min_freq, cfg.max_freq)
     own = R.normalized(reads, cfg.k)
