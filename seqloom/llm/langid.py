@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from seqloom.llm.common import Renamed, map_batches
+from seqloom.llm.common import ARROW_ROWS, Renamed, map_batches
 
 WINDOW, DIM, WIDTHS, FILTERS = 192, 8, (2, 3, 4, 5), 10
 PER_LANGUAGE, LANGUAGES, WINDOWS_EACH, LEAST_BYTES = 400, 100, 4, 24
@@ -209,8 +209,11 @@ def keep_known(df: DataFrame, least: float, seed: int = 42) -> DataFrame:
     net = train(learned, seed) if learned else None
 
     def known(texts: pa.Array) -> pa.Array:
-        names, values = predict(net, texts.to_pylist())
-        return pa.array([n != "und" and v >= least for n, v in zip(names, values, strict=True)], pa.bool_())
+        out = []
+        for k in range(0, len(texts), ARROW_ROWS):
+            names, values = predict(net, texts.slice(k, ARROW_ROWS).to_pylist())
+            out += [n != "und" and v >= least for n, v in zip(names, values, strict=True)]
+        return pa.array(out, pa.bool_())
 
     own = Renamed(df)
     return own.back(own.frame.where(F.arrow_udf(known, BooleanType())(own.at("text").cast("string"))))

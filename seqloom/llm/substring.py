@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from seqloom.llm.common import Renamed, id_and_text, map_batches, partitions_for, use_checkpoints
+from seqloom.llm.common import ARROW_ROWS, Renamed, id_and_text, map_batches, partitions_for, use_checkpoints
 
 WINDOW, PREFIX = 50, 8
 #: Words left of the run that a prefix lengthened to the left has; words of one lengthened to the right.
@@ -522,11 +522,14 @@ def dedup_digest(df: DataFrame, bits: int = HASH_BITS) -> DataFrame:
 
 def _kept_texts(texts: pa.Array, windows: pa.Array) -> pa.Array:
     """The kept words of texts joined by a space; texts without marks as they are."""
-    out = texts.to_pylist()
-    for k, own in enumerate(windows.to_pylist()):
-        if own:
-            out[k] = _kept(out[k], own)[2].decode("utf-8", "surrogatepass")
-    return pa.array(out, pa.string())
+    out = [pa.array([], pa.string())]
+    for k in range(0, len(texts), ARROW_ROWS):
+        own = texts.slice(k, ARROW_ROWS).to_pylist()
+        for i, marked in enumerate(windows.slice(k, ARROW_ROWS).to_pylist()):
+            if marked:
+                own[i] = _kept(own[i], marked)[2].decode("utf-8", "surrogatepass")
+        out.append(pa.array(own, pa.string()))
+    return pa.concat_arrays(out)
 
 
 def cut(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
