@@ -1,15 +1,16 @@
 """BPE with word ends: frequent words by a minimal acyclic transducer, all others by exact merging.
 
-Frequent words of a bounded sample are compiled, with their ids, into a minimal acyclic automaton: equal suffixes share states, and
-the number of words that each edge passes over turns a path into the word's rank, under which its ids stand. The automaton is a few
-MB; it is broadcast as bytes, and each worker maps it into memory from a file of its own that is unlinked at once. Words are
-looked up many at a time. A word that it doesn't hold is merged by rank, as the library does.
+The words of all texts are counted, split just as they are for encoding; workers count in memory of bounded size and Spark adds up. The
+most frequent are compiled, with their ids, into a minimal acyclic automaton: equal suffixes share states, and the number of words
+that each edge passes over turns a path into the word's rank, under which its ids stand. The automaton is a few MB; it is broadcast
+as bytes, and each worker maps it into memory from a file of its own that is unlinked at once. Words are looked up many at a time. A
+word that it doesn't hold is merged by rank, as the library does.
 
 Tokenizers of this kind: NFC, white space as one space, lower case; then words by a pattern that never spans white space; byte-level symbols;
 merges with ``</w>`` on a word's last symbol; added tokens found in the raw text first.
 
 Defined cases. Null text counts as empty: no ids, empty decoded text. Null ids and repeated rows stay as they are. An empty table gives
-an empty result, with an empty lexicon. Ties between frequent words go to the one that sorts first. Texts and words of any length are
+an empty result, with an empty lexicon. Ties between frequent words go to the one that sorts first in UTF-8. Texts and words of any length are
 encoded whole. Extra columns are not read, so their names cannot clash.
 """
 
@@ -22,19 +23,24 @@ import os
 import re
 import tempfile
 import unicodedata
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.common import id_and_text, map_batches
 
-#: About so many documents give the frequent words, at most so many words are compiled, of so many bytes at most.
-SAMPLE_DOCS, LEXICON_WORDS, LONGEST = 2000, 40_000, 48
+#: At most so many words are compiled, of so many bytes at most; all others are merged.
+LEXICON_WORDS, LONGEST = 40_000, 48
+#: A worker hands on its counts when it has so many parts of texts, or has read so many characters since it last did.
+COUNTED, READ = 400_000, 16 << 20
+#: Characters of texts that are encoded at once, so that many new words are looked up and merged together; a longer text goes on its own.
+TOGETHER = 1 << 20
 #: Longest word, in bytes, that is merged without a heap.
 SHORT = 40
 #: Bytes of parts of texts and words that a worker remembers; beyond, it starts anew. Parts of more characters than LONG are coded and forgotten.
@@ -68,6 +74,15 @@ class Merger:
         self.special = {t["content"]: t["id"] for t in made["added_tokens"]}
         self.strings = {v: k for k, v in self.vocab.items()} | {v: k for k, v in self.special.items()}
         self.symbols = byte_symbols()
+        number: dict[str, int] = {}
+        for x in [*self.symbols, *(x + END for x in self.symbols), *(x for a, b in self.ranks for x in (a, b, a + b))]:
+            number.setdefault(x, len(number) + 1)  # 0 stands after a word's end
+        pairs = np.array(sorted((number[a] << 32 | number[b], r) for (a, b), r in self.ranks.items()), np.int64).reshape(-1, 2)
+        self.keys, self.rank_of = pairs.T.copy()
+        self.joined = np.zeros(len(made["model"]["merges"]), np.int64)
+        for (a, b), r in self.ranks.items():
+            self.joined[r] = number[a + b]
+        self.ids = np.array([-1, *(self.vocab.get(x, -1) for x in number)])
 
     def __call__(self, word: bytes) -> list[int]:
         parts = [self.symbols[b] for b in word]
@@ -89,6 +104,42 @@ class Merger:
                 ranks[k] = get((parts[k], parts[k + 1]), never)
         return parts
 
+    def many(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each word: short ones are merged together, each by its least pair in a round."""
+        out = [[] if not w else self(w) if len(w) > SHORT else None for w in words]
+        own = np.array([k for k, ids in enumerate(out) if ids is None], np.int64)
+        if not len(own) or not len(self.keys):
+            return [self(w) if ids is None else ids for w, ids in zip(words, out, strict=True)]
+        lengths = np.array([len(words[k]) for k in own])
+        columns, never = np.arange(lengths.max() + 1), len(self.joined)
+        parts = np.zeros((len(own), len(columns)), np.int64)
+        parts[columns < lengths[:, None]] = np.frombuffer(b"".join([words[k] for k in own]), np.uint8) + np.int64(1)
+        parts[np.arange(len(own)), lengths - 1] += 256
+
+        def ranked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            key = a << 32 | b
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            return np.where(self.keys[at] == key, self.rank_of[at], never)
+
+        ranks = ranked(parts[:, :-1], parts[:, 1:])
+        while len(own):
+            at, rows = ranks.argmin(1), np.arange(len(own))
+            least = ranks[rows, at]
+            done = least == never
+            if done.any():
+                for k, ids in zip(own[done].tolist(), self.ids[parts[done]].tolist(), strict=True):
+                    out[k] = [x for x in ids if x >= 0]
+                own, parts, ranks, at, least = (x[~done] for x in (own, parts, ranks, at, least))
+                rows = np.arange(len(own))
+            source = columns + (columns > at[:, None])
+            parts = np.take_along_axis(parts, np.minimum(source, len(columns) - 1), 1)
+            ranks = np.take_along_axis(ranks, np.minimum(source[:, :-1], len(columns) - 2), 1)
+            parts[rows, at] = self.joined[least]
+            ranks[rows, at] = ranked(parts[rows, at], parts[rows, at + 1])
+            rows, at = rows[at > 0], at[at > 0]
+            ranks[rows, at - 1] = ranked(parts[rows, at - 1], parts[rows, at])
+        return out
+
     def _long(self, parts: list[str | None]) -> list[str | None]:
         """Keeps pairs in a heap."""
         n, ranks = len(parts), self.ranks
@@ -165,7 +216,7 @@ class Lexicon:
         handle, path = tempfile.mkstemp(prefix="lexicon")
         with os.fdopen(handle, "wb") as file:
             file.write(data)
-        mapped = np.memmap(path, "<u4", "r")
+        mapped = np.memmap(path, "<u4", "r").view(np.ndarray)
         os.unlink(path)
         edges, states, words, ids, self.root, _ = map(int, mapped[:6])
         cut = np.cumsum([6, edges, edges, edges, states, words + 1, ids])
@@ -195,20 +246,37 @@ class Lexicon:
         return out
 
 
-class Coder:
+class Splitter:
+    """Cuts texts at added tokens, what is between them at white space into parts, and parts into words."""
+
+    def __init__(self, special: Iterable[str]):
+        self.pattern = regex.compile(WORD_PATTERN)
+        self.marks = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+
+    def pieces(self, text: str) -> list[str]:
+        """What is between added tokens and, at odd places, these."""
+        return self.marks.split(text) if self.marks and self.marks.search(text) else [text]
+
+    def cut(self, piece: str) -> list[str]:
+        if not piece.isascii():
+            piece = unicodedata.normalize("NFC", piece)
+        return _SPLIT.findall(piece) if _ODD.search(piece) else piece.split()
+
+    def split(self, part: str) -> list[str]:
+        """The words of a part, or of parts with white space between them."""
+        return self.pattern.findall(part.replace("Σ", "σ").lower())
+
+
+class Coder(Splitter):
     """Encodes texts and decodes ids. Parts of texts between white space are remembered with their ids and decoded tokens."""
 
     def __init__(self, spec: str, lexicon: bytes):
         self.merge, self.lexicon = Merger(spec), Lexicon(lexicon)
-        self.pattern = regex.compile(WORD_PATTERN)
-        self.marks = re.compile("(" + "|".join(map(re.escape, self.merge.special)) + ")") if self.merge.special else None
+        super().__init__(self.merge.special)
         self.parts: dict[str, tuple[str, str]] = {}
         self.words: dict[str, tuple[str, str]] = {}
         self.held = 0
 
-    def split(self, part: str) -> list[str]:
-        return self.pattern.findall(part.replace("Σ", "σ").lower())
-
     def _keep(self, known: dict[str, tuple[str, str]], made: dict[str, tuple[str, str]]) -> None:
         short = {x: v for x, v in made.items() if len(x) <= LONG}
         size = sum(ENTRY + 2 * len(x) + len(v[0]) + 2 * len(v[1]) for x, v in short.items())
@@ -222,58 +290,82 @@ class Coder:
 
     def _coded(self, parts: Iterable[str]) -> tuple[dict[str, tuple[str, str]], dict[str, tuple[str, str]]]:
         """The parts, and the words in them that were not known."""
-        found = {p: self.split(p) for p in parts}
+        found = {p: [p.lower()] if p.isascii() and p.isalpha() else self.split(p) for p in parts}
         words = {w for own in found.values() for w in own}
         fresh = list(words.difference(self.words))
         raw = [w.encode("utf-8", "surrogatepass") for w in fresh]
         strings, of = self.merge.strings, {w: self.words[w] for w in words if w in self.words}
-        for word, data, ids in zip(fresh, raw, self.lexicon.find(raw), strict=True):
-            ids = self.merge(data) if ids is None else ids
+        looked_up = self.lexicon.find(raw)
+        merged = iter(self.merge.many([data for data, ids in zip(raw, looked_up, strict=True) if ids is None]))
+        for word, ids in zip(fresh, looked_up, strict=True):
+            ids = next(merged) if ids is None else ids
             of[word] = " ".join(map(str, ids)), " ".join([strings[x] for x in ids])
         made = {part: of[own[0]] if len(own) == 1 else (" ".join([of[w][0] for w in own]), " ".join([of[w][1] for w in own])) for part, own in found.items()}
         return made, {w: of[w] for w in fresh}
 
-    def _plain(self, text: str) -> list[tuple[str, str]]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        parts = _SPLIT.findall(text) if _ODD.search(text) else text.split()
-        known = self.parts
-        try:
-            return list(map(known.__getitem__, parts))
-        except KeyError:
-            made, words = self._coded(set(parts).difference(known))
-        out = [made[x] if x in made else known[x] for x in parts]
+    def _together(self, texts: list[str]) -> Iterator[tuple[str, str]]:
+        known, special = self.parts, self.merge.special
+        cut = [[[(str(special[x]), x)] if k % 2 else self.cut(x) for k, x in enumerate(self.pieces(text))] for text in texts]
+        made, words = self._coded({x for own in cut for piece in own[::2] for x in piece}.difference(known))
+        for own in cut:
+            found: list[tuple[str, str]] = []
+            for k, piece in enumerate(own):
+                found += piece if k % 2 else [made[x] if x in made else known[x] for x in piece]
+            yield " ".join([a for a, _ in found]), " ".join([b for _, b in found])
         self._keep(self.words, words)
         self._keep(known, made)
-        return out
+
+    def many(self, texts: Iterable[str]) -> Iterator[tuple[str, str]]:
+        """Of each text: decimal ids joined by spaces, and the decoded text."""
+        group, size = [], 0
+        for text in texts:
+            if group and size + len(text) > TOGETHER:
+                yield from self._together(group)
+                group, size = [], 0
+            group.append(text)
+            size += len(text)
+        yield from self._together(group)
 
     def __call__(self, text: str) -> tuple[str, str]:
-        """Decimal ids joined by spaces, and the decoded text."""
-        if self.marks and self.marks.search(text):
-            found = []
-            for k, piece in enumerate(self.marks.split(text)):
-                found += [(str(self.merge.special[piece]), piece)] if k % 2 else self._plain(piece)
-        else:
-            found = self._plain(text)
-        return " ".join([a for a, _ in found]), " ".join([b for _, b in found])
-
-
-def frequent_words(df: DataFrame, spec: str, docs: int = SAMPLE_DOCS, most: int = LEXICON_WORDS, seed: int = 42) -> dict[bytes, list[int]]:
-    """Up to ``most`` words of about ``docs`` documents, drawn by a seeded hash of their ids, with their ids."""
-    n = df.count()
-    if not n:
-        return {}
-    luck = F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(1 << 30))
-    drawn = df.where(luck < int(min(1.0, docs / n) * (1 << 30)))
-    parts = drawn.select(F.explode(F.split(F.lower("_text"), r"\s+")).alias("p")).where(F.length("p").between(1, LONGEST)).groupBy("p").count()
-    top = parts.orderBy(F.desc("count"), "p").limit(2 * most).collect()
-    merge, pattern, counts = Merger(spec), regex.compile(WORD_PATTERN), Counter()
-    for r in top:
-        for word in pattern.findall(unicodedata.normalize("NFC", r["p"])):
-            counts[word] += r["count"]
-    chosen = sorted(counts, key=lambda w: (-counts[w], w))
-    raw = [w.encode() for w in chosen[:most]]
-    return {w: merge(w) for w in raw if len(w) <= LONGEST}
+        return next(iter(list(self.many([text]))))
+
+
+def _counting(special: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitter, parts, read = Splitter(special), Counter(), 0
+
+        def words() -> pa.RecordBatch:
+            alike, counts = defaultdict(list), Counter()
+            for part, n in parts.items():
+                alike[n].append(part)
+            for n, own in alike.items():
+                for word, k in Counter(splitter.split(" ".join(own))).items():
+                    counts[word] += n * k
+            made = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+            return made.filter(pc.less_equal(pc.binary_length(made.column(0)), LONGEST))
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for piece in splitter.pieces(text or "")[::2]:
+                    parts.update(splitter.cut(piece))
+                read += len(text or "")
+                if len(parts) >= COUNTED or read >= READ:
+                    yield words()
+                    parts.clear()
+                    read = 0
+        yield words()
+
+    return run
+
+
+def frequent_words(df: DataFrame, spec: str, most: int = LEXICON_WORDS) -> dict[bytes, list[int]]:
+    """The ``most`` most frequent words of all texts, of those of up to ``LONGEST`` bytes, with their ids."""
+    merge = Merger(spec)
+    counts = map_batches(df.select("_text"), _counting(list(merge.special)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    # Under coalesce the limit is taken by executors; as the last step the driver would get as many words from each partition.
+    top = counts.orderBy(F.desc("n"), "word").limit(most).coalesce(1).collect()
+    raw = [r["word"].encode() for r in top]
+    return dict(zip(raw, merge.many(raw), strict=True))
 
 
 _coders: dict[int, Coder] = {}
@@ -292,8 +384,7 @@ def _coding(spec, lexicon, digest: bool):
         coder = _coders[key]
         for batch in batches:
             ids, decoded, counts = [], [], []
-            for text in batch.column(1).to_pylist():
-                a, b = coder(text or "")
+            for a, b in coder.many([text or "" for text in batch.column(1).to_pylist()]):
                 counts.append(a.count(" ") + 1 if a else 0)
                 ids.append(sha(a) if digest else a)
                 decoded.append(sha(b) if digest else b)

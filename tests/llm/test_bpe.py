@@ -1,7 +1,10 @@
 import hashlib
+import json
 import random
+from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from seqloom.llm import bpe
@@ -69,3 +72,66 @@ def test_operator_against_the_library(spark, monkeypatch):
     key = lambda r: (r[0] is None, r[0] or 0, r[2])
     assert sorted(map(tuple, bpe.encode(df, PATH, digest=True).collect()), key=key) == sorted(want, key=key)
     assert bpe.encode(df.limit(0), PATH).count() == 0
+
+
+def word_counts(rows):
+    """By the tokenizers library's own splitting."""
+    tok, counts, byte = Tokenizer.from_file(PATH), Counter(), {c: b for b, c in enumerate(bpe.byte_symbols())}
+    for t in rows:
+        for piece in (t or "").replace("<|startoftext|>", "<|endoftext|>").split("<|endoftext|>"):
+            for word, _ in tok.pre_tokenizer.pre_tokenize_str(tok.normalizer.normalize_str(piece)):
+                raw = bytes(byte[c] for c in word)
+                counts[raw] += len(raw) <= bpe.LONGEST
+    return +counts
+
+
+def test_words_of_all_texts_are_counted(spark):
+    rng = random.Random(12)
+    rows = [f"w{rng.choice('abcdefgh')}{rng.choice('xyzé')} Common, k{chr(97 + k % 26)}q's{chr(98 + k % 25)}" for k in range(6000)]
+    rows[::1000] = ["seldom " * 400 + "z" * 60 + " z" * 7 + chr(0xE9) * 30] * 6  # of few texts, but often
+    rows += [*texts(rng), None]
+    df = spark.createDataFrame(list(enumerate(rows)), "_id long, _text string")
+    want = word_counts(rows)
+    for most in (1, 40, 100_000):
+        got = bpe.frequent_words(df, SPEC, most=most)
+        assert list(got) == sorted(want, key=lambda w: (-want[w], w))[:most]
+    merge = bpe.Merger(SPEC)
+    assert got == {w: merge(w) for w in want}
+
+
+def test_counts_in_pieces_add_up(monkeypatch):
+    rows = texts(random.Random(13)) * 3
+    batches = [pa.record_batch([pa.array(rows[k : k + 50])], ["_text"]) for k in range(0, len(rows), 50)]
+    for parts, read in ((1, 1 << 30), (37, 1 << 30), (1 << 30, 90), (1 << 30, 1 << 30)):
+        monkeypatch.setattr(bpe, "COUNTED", parts)
+        monkeypatch.setattr(bpe, "READ", read)
+        counts = Counter()
+        for batch in bpe._counting(list(bpe.Merger(SPEC).special))(iter(batches)):
+            for word, n in zip(*batch.to_pydict().values(), strict=True):
+                counts[word.encode()] += n
+        assert counts == word_counts(rows)
+
+
+def test_words_merged_together_and_alone_are_alike():
+    rng = random.Random(14)
+    pairs = [[a, b + end] for a in ("a", "b", "c", "ab", "ca", "abc", "bb") for b in ("a", "b", "c", "ca", "bb") for end in ("", bpe.END)]
+    rng.shuffle(pairs)  # pairs of joined parts may come before those that join them
+    own = {"model": {"vocab": {x: k for k, x in enumerate(sorted({"".join(p) for p in pairs} | set("abc")))}, "merges": [*pairs, pairs[3]]}, "added_tokens": []}
+    for spec, letters in ((SPEC, b"aaabcdeth\xc3\xa9s"), (json.dumps(own), b"abcabcd")):
+        merge = bpe.Merger(spec)
+        words = [bytes(rng.choice(letters) for _ in range(rng.choice((1, 2, 3, 5, 9, 20, bpe.SHORT, bpe.SHORT + 1, 90)))) for _ in range(600)]
+        assert merge.many(words) == [merge(w) for w in words]
+        assert merge.many([]) == [] and merge.many(words[:1]) == [merge(words[0])]
+    none = bpe.Merger(json.dumps({"model": {"vocab": {"a": 0, "a</w>": 1}, "merges": []}, "added_tokens": []}))
+    assert none.many([b"aa", b"ba"]) == [[0, 1], [1]]
+
+
+def test_texts_together_and_alone_are_alike(monkeypatch):
+    rng = random.Random(15)
+    rows = texts(rng) + ["", "x" * 300, ""]
+    coder = bpe.Coder(SPEC, bpe.compile_lexicon({}))
+    want = [coder(t) for t in rows]
+    for together in (1, 100, 1 << 20):
+        monkeypatch.setattr(bpe, "TOGETHER", together)
+        assert list(bpe.Coder(SPEC, bpe.compile_lexicon({})).many(rows)) == want
+    assert list(bpe.Coder(SPEC, bpe.compile_lexicon({})).many([])) == []
