@@ -279,7 +279,7 @@ class Coder(Splitter):
 
     def _keep(self, known: dict[str, tuple[str, str]], made: dict[str, tuple[str, str]]) -> None:
         short = {x: v for x, v in made.items() if len(x) <= LONG}
-        size = sum(ENTRY + 2 * len(x) + len(v[0]) + 2 * len(v[1]) for x, v in short.items())
+        size = ENTRY * len(short) + sum([2 * (len(x) + len(v[1])) + len(v[0]) for x, v in short.items()])
         if self.held + size > REMEMBERED:
             self.held = 0
             self.parts.clear()
@@ -306,11 +306,13 @@ class Coder(Splitter):
     def _together(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         known, special = self.parts, self.merge.special
         cut = [[[(str(special[x]), x)] if k % 2 else self.cut(x) for k, x in enumerate(self.pieces(text))] for text in texts]
-        made, words = self._coded({x for own in cut for piece in own[::2] for x in piece}.difference(known))
+        parts = set().union(*[piece for own in cut for piece in own[::2]])
+        made, words = self._coded(parts.difference(known))
+        here = made | {x: known[x] for x in parts if x not in made}
         for own in cut:
             found: list[tuple[str, str]] = []
             for k, piece in enumerate(own):
-                found += piece if k % 2 else [made[x] if x in made else known[x] for x in piece]
+                found += piece if k % 2 else map(here.__getitem__, piece)
             yield " ".join([a for a, _ in found]), " ".join([b for _, b in found])
         self._keep(self.words, words)
         self._keep(known, made)
@@ -335,12 +337,14 @@ def _counting(special: list[str]):
         splitter, parts, read = Splitter(special), Counter(), 0
 
         def words() -> pa.RecordBatch:
-            alike, counts = defaultdict(list), Counter()
+            alike: dict[int, list[str]] = defaultdict(list)
             for part, n in parts.items():
                 alike[n].append(part)
+            counts: dict[str, int] = Counter(splitter.split(" ".join(alike.pop(1, []))))
+            get = counts.get
             for n, own in alike.items():
-                for word, k in Counter(splitter.split(" ".join(own))).items():
-                    counts[word] += n * k
+                for word in splitter.split(" ".join(own)):
+                    counts[word] = get(word, 0) + n
             made = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
             return made.filter(pc.less_equal(pc.binary_length(made.column(0)), LONGEST))
 
